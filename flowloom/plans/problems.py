@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.config import SETTINGS
-from flowloom.operators import sweep, timestamps
+from flowloom.config import PROVENANCE_COLUMNS, SETTINGS
+from flowloom.operators import drift, sweep, timestamps
 from flowloom.runtime import micros
 from flowloom.sources.tables import table
 
@@ -36,4 +36,20 @@ def p5_unread(spark: SparkSession, folder: str) -> DataFrame:
     return left.groupBy(timestamps.shape(timestamps.bare(F.col("timestamp"))).alias("shape")).agg(F.count("*").alias("n_records"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_sessions": p3_sessions, "p5_found": p5_found, "p5_unread": p5_unread}
+def _fields(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Measured fields of the flow table, with their types, text for what lines hold as text."""
+    flows = table(spark, folder, "flow_records")
+    return {c: t if t in ("bigint", "double") else "string" for c, t in flows.dtypes if c not in PROVENANCE_COLUMNS or c == "label"}
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return drift.schema_changes(table(spark, folder, "capture_lines"), list(_fields(spark, folder)))
+
+
+def p7_table(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "capture_lines")
+    one = drift.unify(lines, _fields(spark, folder))
+    return one.withColumn("extra", F.to_json("extra"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_sessions": p3_sessions, "p5_found": p5_found, "p5_unread": p5_unread, "p7_found": p7_found, "p7_table": p7_table}
