@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowloom.llm import bpe
+from flowloom.llm import bpe, sequences, splits
 from flowloom.sources.tables import table
 
 
@@ -12,4 +13,32 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_column(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p8_ids": p8_ids}
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    flows = table(spark, folder, "tagged_flows")
+    found = sequences.frequent_patterns(flows, "capture_id", "session_id", "timestamp", "token", "record_id", share=0.1, least=8, shortest=3, longest=5)
+    return found.withColumn("capture_id", F.col("capture_id").cast("bigint"))
+
+
+def _components(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.update_components(table(spark, folder, "tagged_flows"), ["session_id"], "day")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.torn(_components(spark, folder)).select(F.col("entity").alias("session_id"))
+
+
+def p6_splits(spark: SparkSession, folder: str) -> DataFrame:
+    flows = table(spark, folder, "tagged_flows")
+    return splits.assign_splits(flows, ["session_id"], _components(spark, folder)).select("record_id", "session_id", "split")
+
+
+def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Records and components of each split after two batches, the first captures and the later days."""
+    flows = table(spark, folder, "tagged_flows")
+    early = F.coalesce("day_order", F.lit(5)) <= 3
+    first = splits.update_components(flows.where(early), ["session_id", "session_key"], "day")
+    both = splits.update_components(flows.where(~early), ["session_id", "session_key"], "day", before=first)
+    return both.groupBy("split").agg(F.sum("n_records").alias("n_records"), F.countDistinct("component").alias("n_components"))
+
+
+QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p8_ids": p8_ids}
