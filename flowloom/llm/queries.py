@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import bpe, sequences, splits
+from flowloom.llm import bpe, mixing, sequences, splits
 from flowloom.sources.tables import table
 
 
@@ -41,4 +41,13 @@ def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
     return both.groupBy("split").agg(F.sum("n_records").alias("n_records"), F.countDistinct("component").alias("n_components"))
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p8_ids": p8_ids}
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    targets = table(spark, folder, "mix_targets")
+    return mixing.report(*mixing.mix(table(spark, folder, "documents"), targets), targets)
+
+
+QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p9_mix": p9_mix, "p9_report": p9_report, "p8_ids": p8_ids}
