@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import bpe, mixing, sequences, splits
+from flowloom.llm import bpe, mixing, mojibake, sequences, splits
 from flowloom.sources.tables import table
 
 
@@ -50,4 +50,15 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(*mixing.mix(table(spark, folder, "documents"), targets), targets)
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p9_mix": p9_mix, "p9_report": p9_report, "p8_ids": p8_ids}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mojibake.find_garbled(table(spark, folder, "flow_records"), "record_id", "label", "source_file").select("record_id", "restored")
+
+
+def p2_chains(spark: SparkSession, folder: str) -> DataFrame:
+    """Records by source and encoding chain."""
+    flows = table(spark, folder, "flow_records")
+    found = mojibake.find_garbled(flows, "record_id", "label", "source_file")
+    return found.join(flows.select("record_id", "source_file"), "record_id").groupBy("source_file", "chain").agg(F.count("*").alias("n_records"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_chains": p2_chains, "p4_found": p4_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p9_mix": p9_mix, "p9_report": p9_report, "p8_ids": p8_ids}
