@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import bpe, mixing, mojibake, sequences, splits
+from flowloom.llm import bpe, labels, mixing, mojibake, sequences, splits
 from flowloom.sources.tables import table
 
 
@@ -50,6 +50,16 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(*mixing.mix(table(spark, folder, "documents"), targets), targets)
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return labels.map_values(table(spark, folder, "flow_records"), "record_id", "label", table(spark, folder, "class_list"), "class_id", "class_name")
+
+
+def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that fit no class, with their number of records."""
+    flows = table(spark, folder, "flow_records").select("record_id", "label")
+    return p1_found(spark, folder).where(F.col("class_id") == labels.UNMATCHED).join(flows, "record_id").groupBy("label").agg(F.count("*").alias("n_records"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.find_garbled(table(spark, folder, "flow_records"), "record_id", "label", "source_file").select("record_id", "restored")
 
@@ -61,4 +71,4 @@ def p2_chains(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(flows.select("record_id", "source_file"), "record_id").groupBy("source_file", "chain").agg(F.count("*").alias("n_records"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_chains": p2_chains, "p4_found": p4_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p9_mix": p9_mix, "p9_report": p9_report, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_chains": p2_chains, "p4_found": p4_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p9_mix": p9_mix, "p9_report": p9_report, "p8_ids": p8_ids}
