@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import bpe, labels, mixing, mojibake, sequences, splits
+from flowloom.llm import abuse, bpe, labels, mixing, mojibake, sequences, splits
 from flowloom.sources.tables import table
 
 
@@ -71,4 +71,17 @@ def p2_chains(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(flows.select("record_id", "source_file"), "record_id").groupBy("source_file", "chain").agg(F.count("*").alias("n_records"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_chains": p2_chains, "p4_found": p4_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p9_mix": p9_mix, "p9_report": p9_report, "p8_ids": p8_ids}
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return abuse.score_documents(docs, abuse.fit_chain(docs, table(spark, folder, "review_labels")), ("doc_id", "source"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder).where("flagged").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.rates(_scored(spark, folder))
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_chains": p2_chains, "p4_found": p4_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_rates": p10_rates, "p8_ids": p8_ids}
