@@ -40,29 +40,34 @@ COARSE = {
     "hateful": "vermin subhuman ungeziefer untermenschen ersäufen sous-hommes vermine basura subhumanos exterminate",
     "sexual": "naked nude nipples thighs moaned bosomed unclothed lewd whores nackte geil weiber ficken titten nues chaudes baiser desnudas calientes follar tetas",
 }
-_BREAK = re.compile(r"[-­¬=]\s*\r?\n\s*")
-_SPACED = re.compile(r"\b[^\W_] [^\W_] (?:[^\W_] )+[^\W_]\b")
-_MASK = re.compile(r"([^\W\d_])[*—#%&]+([^\W\d_])\b")
-_DOTTED = re.compile(r"(?<=[^\W\d_])[.](?=[^\W\d_]{2})")
-_SIGNS = re.compile(r"[^\w\s.,;:!?'’\"()*—/#%&$@£|«»-]+")
-_WORD = re.compile(r"[^\W\d_]+")
-_DIGIT = re.compile(r"(?<=[^\W\d_])[01358$@]|[01358$@](?=[^\W\d_])")
-_DIGITS = str.maketrans("01358$@", "oiesbsa")
-_LOOKS = str.maketrans({"e": "c", "u": "n", "b": "h", "f": "t", "l": "i", "j": "i", "q": "g", "ſ": "s", "é": "c", "è": "c", "ê": "c", "á": "a", "à": "a", "ó": "o", "ò": "o", "ö": "o", "ü": "n", "ú": "n", "ä": "a", "í": "i", "ñ": "n", "ß": "b"})
+_BREAK = re.compile(r"[-\xad¬=][ \t]*\r?\n\s*")
+_L = rb"a-z\xdf-\xf6\xf8-\xff"
+_SPACED = re.compile(rb"\b[%b0-9] [%b0-9] (?:[%b0-9] )+[%b0-9]\b" % (_L, _L, _L, _L))
+_MASK = re.compile(rb"([%b])[*#%%&]+([%b])(?![%b])" % (_L, _L, _L))
+_DOTTED = re.compile(rb"(?<=[%b])[.](?=[%b]{2})" % (_L, _L))
+_DIGIT = re.compile(rb"(?<=[%b])[01358$@]|[01358$@](?=[%b])" % (_L, _L))
+_DIGITS = bytes.maketrans(b"01358$@", b"oiesbsa")
+_WORD = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+_SIGNS = bytes(c for c in (*range(0x20), *range(0x7F, 0xC0)) if c not in b" \t\n\r\f\v\x85\xa0\xa3\xab\xbb") + b"\\|~^`<>{}[]_\xd7\xf7"
+_LOOKS = bytes.maketrans("eubfljqéèêáàâóòôöüúùûäíîïñßç".encode("latin-1"), b"cnhtiigcccaaaoooonnnnaiiinhc")
 
 
-def look(text: str) -> str:
-    """A text with letters that scanners confuse mapped to one."""
-    return text.replace("rn", "m").replace("vv", "w").replace("cl", "d").translate(_LOOKS)
+def _look(b: bytes) -> bytes:
+    return b.replace(b"rn", b"m").replace(b"vv", b"w").replace(b"cl", b"d").translate(_LOOKS)
+
+
+def look(word: str) -> str:
+    """A word with letters that scanners confuse mapped to one."""
+    return _look(word.encode("latin-1", "ignore")).decode("latin-1")
 
 
 def words(text: str) -> list[str]:
-    """Folded words in order."""
-    t = unicodedata.normalize("NFKC", _BREAK.sub("", text)).lower()
-    t = _DIGIT.sub(lambda m: m[0].translate(_DIGITS), _SIGNS.sub("", t))
-    t = _SPACED.sub(lambda m: m[0].replace(" ", ""), t)
-    t = _MASK.sub(r"\1qq\2", _DOTTED.sub("", t))
-    return _WORD.findall(look(t))
+    """Folded words in order; letters beyond Western European ones are dropped like other signs inside words."""
+    b = unicodedata.normalize("NFKC", _BREAK.sub("", text)).lower().replace("—", "*").encode("latin-1", "ignore").translate(None, _SIGNS)
+    b = _DIGIT.sub(lambda m: m[0].translate(_DIGITS), b)
+    b = _SPACED.sub(lambda m: m[0].replace(b" ", b""), b)
+    b = _MASK.sub(rb"\1qq\2", _DOTTED.sub(b"", b))
+    return _WORD.findall(_look(b).decode("latin-1"))
 
 
 def features(text: str | None) -> set[str]:

@@ -175,7 +175,8 @@ def find_garbled(df: DataFrame, id_col: str, text_col: str, source_col: str, rou
                 out += [(source, text, n, name, t, _score(t, model.value)) for name, t in found.items()] if len(found) > 1 else []
             yield pd.DataFrame(out, columns=["source", "text", "n", "chain", "restored", "loglik"])
 
-    options = stored(texts.mapInPandas(score, "source string, text string, n bigint, chain string, restored string, loglik double"))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work: not to be put together
+    options = stored(texts.repartition(tasks, "__text").mapInPandas(score, "source string, text string, n bigint, chain string, restored string, loglik double"))
 
     def posterior(prior: DataFrame | None) -> DataFrame:
         scored = options if prior is None else options.join(prior, ["source", "chain"], "left")
