@@ -31,9 +31,9 @@ US = 1_000_000
 SLICE_S = 900
 
 
-def _points(df: DataFrame, group: list[str], time_us: str, duration_us: str, order: str, ignore: list[str], slice_us: int) -> DataFrame:
+def _points(df: DataFrame, group: list[str], time_us: str, duration_us: str, order: str, ignore: list[str], slice_us: int, distinct: bool = True) -> DataFrame:
     """One row for each group, slice and instant: t, end (of the last row), n (distinct rows)."""
-    same = [c for c in df.columns if c not in {*group, *ignore}]
+    same = [c for c in df.columns if c not in {*group, *ignore}] if distinct else [order]
     h1, h2 = row_hash(same)
     rows = df.where(F.col(time_us).isNotNull()).where(" AND ".join(f"`{c}` IS NOT NULL" for c in group)).select(
         *[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], F.col(time_us).alias("__t"), F.floor(F.col(time_us) / F.lit(slice_us)).alias("__slice"),
@@ -79,11 +79,11 @@ def _cut_long(cap_us: int, names: list[str]):
     return run
 
 
-def sweep_sessions(df: DataFrame, group: list[str], time_us: str, duration_us: str, order: str, gap_s: float, cap_s: float, ignore: tuple[str, ...] = (), slice_s: int = SLICE_S) -> DataFrame:
-    """(group..., start_us, end_us, n_rows): one row per session; columns in `ignore` don't make a row different."""
+def sweep_sessions(df: DataFrame, group: list[str], time_us: str, duration_us: str, order: str, gap_s: float, cap_s: float, ignore: tuple[str, ...] = (), slice_s: int = SLICE_S, distinct: bool = True) -> DataFrame:
+    """(group..., start_us, end_us, n_rows): one row per session; columns in `ignore` don't make a row different, without `distinct` each row counts."""
     gap_us, cap_us = int(gap_s * US), int(cap_s * US)
     g = [f"__g{i}" for i in range(len(group))]
-    frags = _swept(_points(df, group, time_us, duration_us, order, [order, *ignore], slice_s * US), g, gap_us)
+    frags = _swept(_points(df, group, time_us, duration_us, order, [order, *ignore], slice_s * US, distinct), g, gap_us)
     parts = frags.groupBy(*g, "__slice", "__frag").agg(F.min("__t").alias("__a"), F.max("__t").alias("__b"), F.sum("__n").alias("__n"), F.max_by("__end", "__t").alias("__end"))
     along = Window.partitionBy(*g).orderBy("__a")
     opens = F.coalesce((F.col("__a") - F.lag("__end").over(along) > gap_us).cast("int"), F.lit(1))
