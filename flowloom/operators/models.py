@@ -87,9 +87,9 @@ class Boosting:
 
 def token_counts(steps: DataFrame) -> DataFrame:
     """(session, one column for each token and pair of tokens)."""
-    pair = F.concat(F.lit("p"), lookup({t: i for i, t in enumerate(TOKENS)}, F.col("token")).cast("string"), F.lit("_"), lookup({t: i for i, t in enumerate(TOKENS)}, F.lead("token").over(Window.partitionBy("session").orderBy("us", "seq_no"))).cast("string"))
-    one = F.concat(F.lit("t"), lookup({t: i for i, t in enumerate(TOKENS)}, F.col("token")).cast("string"))
-    long = steps.select("session", F.explode(F.array(one, pair)).alias("f")).where("f IS NOT NULL")
+    number = lambda c: lookup({t: i for i, t in enumerate(TOKENS)}, F.col(c)).cast("string")
+    paired = steps.select("session", "token", F.lead("token").over(Window.partitionBy("session").orderBy("us", "seq_no")).alias("after"))
+    long = paired.select("session", F.explode(F.array(F.concat(F.lit("t"), number("token")), F.concat(F.lit("p"), number("token"), F.lit("_"), number("after")))).alias("f")).where("f IS NOT NULL")
     names = [*[f"t{i}" for i in range(len(TOKENS))], *[f"p{i}_{j}" for i in range(len(TOKENS)) for j in range(len(TOKENS))]]
     return long.groupBy("session").agg(*[F.count_if(F.col("f") == n).cast("double").alias(n) for n in names])
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from flowloom.plans import problems
+from flowloom.plans import flow_queries, flow_sql, problems
 
-MODULES = (problems,)
-QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+MODULES = (problems, flow_queries, flow_sql)
+QUERIES = {k: v for m in MODULES for k, v in getattr(m, "QUERIES", {}).items()}
 SQL = {k: v for m in MODULES for k, v in getattr(m, "SQL", {}).items()}

@@ -53,3 +53,20 @@ def p7_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_sessions": p3_sessions, "p5_found": p5_found, "p5_unread": p5_unread, "p7_found": p7_found, "p7_table": p7_table}
+
+SQL = {
+    "p3_found": """
+WITH RECURSIVE once AS (
+  SELECT min(record_id) AS record_id, * EXCLUDE (record_id, loaded_at) FROM flow_records WHERE "timestamp" IS NOT NULL AND session_key IS NOT NULL AND day IS NOT NULL GROUP BY ALL
+), base AS (
+  SELECT day, session_key, epoch_us("timestamp") AS us, epoch_us("timestamp") + greatest(coalesce(flow_duration, 0), 0) AS e, row_number() OVER (PARTITION BY day, session_key ORDER BY "timestamp", record_id) AS i FROM once
+), walk AS (
+  SELECT day, session_key, i, us, e, us AS first_us FROM base WHERE i = 1
+  UNION ALL
+  SELECT b.day, b.session_key, b.i, b.us, b.e, CASE WHEN b.us - w.e > 60000000 OR b.us - w.first_us > 3600000000 THEN b.us ELSE w.first_us END
+  FROM walk w JOIN base b ON b.day = w.day AND b.session_key = w.session_key AND b.i = w.i + 1
+)
+SELECT day, session_key, first_us AS start_us, max(us) AS end_us, count(*) AS n_flows FROM walk GROUP BY day, session_key, first_us
+""",
+}
+SQL["p3_sessions"] = f"SELECT *, end_us - start_us AS duration_us FROM ({SQL['p3_found'].strip()})"
