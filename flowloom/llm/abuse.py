@@ -4,9 +4,9 @@ Texts are folded first: words broken at line ends are joined, spaced-out, dotted
 inside words dropped, and letters that scanners confuse mapped to one, so that misread words give the same features.
 Features are words and pairs of neighbours.
 
-Chain: one linear (logistic) model per category in a fixed order; each later model also gets the probabilities of the
-earlier ones, out of fold while training. A document's score is the chance that any category holds; the threshold
-is the one with the best F1 on out-of-fold scores. Known coarse words pull their weight towards a positive prior, so
+Chain: one linear (logistic) model per category in a fixed order, and a last one for any of them; each later model
+also gets the probabilities of the earlier ones, out of fold while training. A document's score is the last link's
+probability; the threshold is the one with the best F1 on out-of-fold scores. Known coarse words pull their weight towards a positive prior, so
 that few labels do not leave the model blind; labels outweigh it.
 
 The model is fitted on at most `most_labelled` labelled documents (those of least hash of doc_id); their verdicts are
@@ -33,7 +33,8 @@ from pyspark.sql import types as T
 CATEGORIES = ("abusive", "hateful", "sexual")
 MOST_LABELLED, MOST_FEATURES = 20_000, 300_000
 CONTRADICTED = 0.8
-FOLDS, STEPS, RIDGE, PRIOR, BIAS = 5, 150, 0.15, 2.5, -3.5
+OFTEN = 0.006
+FOLDS, STEPS, RIDGE, PRIOR, BIAS = 5, 150, 0.6, 2.5, -3.5
 # Coarse words (en, de, fr, es) by the category they suggest.
 COARSE = {
     "abusive": "cunt fuck fucking shit shithead arse arsehole bastard bitch prick whore bugger cretin imbecile maggot moron idiot scumbag hurensohn arschloch fotze wichser verrecke schwein drecksau miststück connard salaud salope enculé crève gueule putain merde cabrón puta pendejo gilipollas cállate mierda maldito pudras zorra",
@@ -136,22 +137,22 @@ def _chain(found: list[np.ndarray], y: np.ndarray, weight: np.ndarray, index: di
 
 
 def train(found: list[np.ndarray], y: np.ndarray, weight: np.ndarray, index: dict[str, int], prior: np.ndarray) -> tuple[Chain, np.ndarray]:
-    """The chain, and its out-of-fold score of each document; y (documents, categories).
+    """The chain, and its out-of-fold score of each document; y (documents, categories and any).
 
     Verdicts that the out-of-fold score contradicts outright count little in a second fit.
     """
     chain, out = _chain(found, y, weight, index, prior)
     truth = y.max(axis=1) > 0 if len(y) else np.zeros(0, dtype=bool)
     if truth.sum() < 20:
-        return chain, 1 - np.prod(1 - out, axis=1)
-    first = 1 - np.prod(1 - out, axis=1)
+        return chain, out[:, -1]
+    first = out[:, -1]
     weight = weight * np.where(np.abs(first - truth) > CONTRADICTED, 0.05, 1.0)
     chain, out = _chain(found, y, weight, index, prior)
-    any_out = 1 - np.prod(1 - out, axis=1)
+    any_out = out[:, -1]
     order = np.argsort(-any_out)
     hits, shown = np.cumsum((truth * weight)[order]), np.cumsum(weight[order])
     best = int(np.argmax(2 * hits / (shown + (truth * weight).sum())))
-    chain.threshold = float(np.clip((any_out[order[best]] + any_out[order[min(best + 1, len(order) - 1)]]) / 2, 0.2, 0.8))
+    chain.threshold = float(np.clip((any_out[order[best]] + any_out[order[min(best + 1, len(order) - 1)]]) / 2, 0.35, 0.8))
     return chain, any_out
 
 
@@ -174,13 +175,14 @@ def fit_chain(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABE
     base = ((totals["p"] or 0) + 0.5) / ((totals["n"] or 0) + 1)
     seen["rate"] = (seen["p"] + base) / (seen["d"] + 1)
     coarse = {look(w): c for c, ws in COARSE.items() for w in ws.split()} | {w[0] + "qq" + w[-1]: c for c, ws in COARSE.items() if c == "abusive" for w in map(look, ws.split())}
-    spread = 1.3 * np.sqrt(seen["rate"] * (1 - seen["rate"]) / (seen["d"] + 1))
-    strong = set(seen.loc[(seen["rate"] - spread > min(0.8, 1.5 * base)) & (seen["p"] >= 3), "f"]) | set(coarse)
-    near = [f for f, d in zip(seen["f"], seen["d"], strict=True) if " " in f and d >= 5 and any(w in strong for w in f.split(" "))]
+    often = max(3, round(OFTEN * (totals["p"] or 0)))  # fewer cases are chance among so many features
+    spread = 2.0 * np.sqrt(seen["rate"] * (1 - seen["rate"]) / (seen["d"] + 1))
+    strong = set(seen.loc[(seen["rate"] - spread > min(0.8, 1.5 * base)) & (seen["p"] >= often), "f"]) | set(coarse)
+    near = [f for f, d in zip(seen["f"], seen["d"], strict=True) if " " in f and d >= often and any(w in strong for w in f.split(" "))]
     index = {f: i for i, f in enumerate(sorted(strong | set(near)))}
-    prior = np.zeros((len(CATEGORIES), len(index)))
+    prior = np.zeros((len(CATEGORIES) + 1, len(index)))
     for f, c in coarse.items():
-        prior[CATEGORIES.index(c), index[f]] = PRIOR
+        prior[[CATEGORIES.index(c), -1], index[f]] = PRIOR
     rows = labelled.select("any", "n", *CATEGORIES, "f")
     known = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -194,6 +196,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABE
     agree = (data["any"] - 0.5).abs() * 2
     y = data[list(CATEGORIES)].to_numpy(dtype=float)
     y = np.where((data["any"] > 0.5).to_numpy()[:, None] & (y > 0), 1.0, 0.0)
+    y = np.column_stack([y, (data["any"] > 0.5).to_numpy(dtype=float)])
     return train(found, y, (agree * np.sqrt(data["n"])).to_numpy(dtype=float), index, prior)[0]
 
 
@@ -207,8 +210,8 @@ def score_documents(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc
             texts = b.column(len(keep)).to_pylist()
             p = c.score([c.numbers(t) for t in texts])
             p[[not (t and t.strip()) for t in texts]] = 0.0
-            total = 1 - np.prod(1 - p, axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(total), pa.array(total >= c.threshold)], names=[*keep, *CATEGORIES, "score", "flagged"])
+            total = p[:, -1]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[pa.array(p[:, k]) for k in range(len(CATEGORIES))], pa.array(total), pa.array(total >= c.threshold)], names=[*keep, *CATEGORIES, "score", "flagged"])
 
     schema = T.StructType([*[docs.schema[k] for k in keep], *[T.StructField(c, T.DoubleType()) for c in (*CATEGORIES, "score")], T.StructField("flagged", T.BooleanType())])
     return docs.select(*keep, text).mapInArrow(run, schema)
