@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.runtime import row_hash
+from flowloom.runtime import row_hash, stored
 
 US = 1_000_000
 SLICE_S = 900
@@ -83,7 +83,7 @@ def sweep_sessions(df: DataFrame, group: list[str], time_us: str, duration_us: s
     """(group..., start_us, end_us, n_rows): one row per session; columns in `ignore` don't make a row different, without `distinct` each row counts."""
     gap_us, cap_us = int(gap_s * US), int(cap_s * US)
     g = [f"__g{i}" for i in range(len(group))]
-    frags = _swept(_points(df, group, time_us, duration_us, order, [order, *ignore], slice_s * US, distinct), g, gap_us)
+    frags = stored(_swept(_points(df, group, time_us, duration_us, order, [order, *ignore], slice_s * US, distinct), g, gap_us))  # read by both paths below
     parts = frags.groupBy(*g, "__slice", "__frag").agg(F.min("__t").alias("__a"), F.max("__t").alias("__b"), F.sum("__n").alias("__n"), F.max_by("__end", "__t").alias("__end"))
     along = Window.partitionBy(*g).orderBy("__a")
     opens = F.coalesce((F.col("__a") - F.lag("__end").over(along) > gap_us).cast("int"), F.lit(1))

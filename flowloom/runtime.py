@@ -35,6 +35,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> None:
+    """Removes what stored() wrote in this session's shared folder, once nothing reads it any more."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/flowloom")
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks df for broadcast only if it is proven to have at most so many rows; beyond that Spark's shuffle joins do it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
