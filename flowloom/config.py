@@ -9,13 +9,12 @@ DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday")
 DAY_ORDER = {d: i + 1 for i, d in enumerate(DAYS)}
 DAY_PARTITION = {"Monday": "train", "Tuesday": "train", "Wednesday": "val", "Thursday": "test", "Friday": "test"}
 CLASSES = (
-    "BENIGN", "Bot", "DDoS", "DoS GoldenEye", "DoS Hulk", "DoS Slowhttptest", "DoS slowloris",
-    "FTP-Patator", "Heartbleed", "Infiltration", "PortScan", "SSH-Patator",
-    "Web Attack - Brute Force", "Web Attack - Sql Injection", "Web Attack - XSS",
+    "BENIGN", "DoS Hulk", "PortScan", "DDoS", "DoS GoldenEye", "FTP-Patator", "SSH-Patator", "DoS slowloris", "DoS Slowhttptest",
+    "Bot", "Web Attack - Brute Force", "Web Attack - XSS", "Web Attack - Sql Injection", "Infiltration", "Heartbleed",
 )
 TOKENS = (
-    "CONNECTION_ATTEMPT", "SESSION_ESTABLISHED", "AUTH_FAIL", "AUTH_SUCCESS", "POST_AUTH_ACTIVITY",
-    "SCAN_ACTIVITY", "DATA_TRANSFER", "DOS_INDICATOR", "FORCED_TERMINATION", "CONNECTION_TERMINATION",
+    "CONNECTION_ATTEMPT", "SESSION_ESTABLISHED", "AUTH_FAIL", "AUTH_SUCCESS", "SCAN_ACTIVITY",
+    "DATA_TRANSFER", "CONNECTION_TERMINATION", "FORCED_TERMINATION", "DOS_INDICATOR", "POST_AUTH_ACTIVITY",
 )
 AUTH_PORTS = (21, 22, 23, 3389, 3306, 5432, 1433)
 IDENTIFIER_COLUMNS = ("flow_id", "source_ip", "src_ip", "source_port", "src_port", "destination_ip", "dst_ip", "timestamp")

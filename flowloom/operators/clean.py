@@ -149,4 +149,4 @@ def class_weights(train: DataFrame, label: str = "label", cap: float = SETTINGS.
     classes = train.sparkSession.createDataFrame([(c,) for c in CLASSES], "label string")
     counts = train.where(F.col(label).isin(*CLASSES)).groupBy(F.col(label).alias("__l")).agg(F.count("*").alias("n"))
     whole = counts.agg(F.sum("n").alias("total"))
-    return classes.join(F.broadcast(counts), F.col("label") == F.col("__l"), "left").join(F.broadcast(whole)).select("label", F.coalesce(F.least(F.col("total") / (F.lit(len(CLASSES)) * F.col("n")), F.lit(cap)), F.lit(1.0)).alias("weight"))  # 15 and 1 rows
+    return classes.join(F.broadcast(counts), F.col("label") == F.col("__l"), "left").join(F.broadcast(whole)).select("label", F.when(F.col("n").isNull(), 1.0).otherwise(F.least(F.col("total") / (F.lit(len(CLASSES)) * F.col("n")), F.lit(cap))).alias("weight"))  # 15 and 1 rows

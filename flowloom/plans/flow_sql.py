@@ -162,7 +162,7 @@ FROM raw_flow_records WHERE regexp_matches("timestamp", '^\\d{1,2}/\\d{1,2}/\\d{
     "seeded_rows": f"""WITH {LABELLED}, lacking AS (SELECT record_id FROM labelled WHERE "partition" = 'val' AND label NOT IN (SELECT label FROM labelled WHERE "partition" = 'train')
   QUALIFY row_number() OVER (PARTITION BY label ORDER BY (record_id * 2654435761) % 4294967296, record_id) <= 500)
 SELECT label, CASE WHEN record_id IN (SELECT record_id FROM lacking) THEN 'train' ELSE "partition" END AS "partition", count(*) AS n, CAST(sum(record_id) AS BIGINT) AS ids FROM labelled GROUP BY 1, 2""",
-    "class_weights": f"WITH {LABELLED}, tr AS (SELECT label FROM labelled WHERE \"partition\" = 'train'), classes(i, label) AS (VALUES {CLASS_ROWS}) SELECT c.label, round(coalesce(least((SELECT count(*) FROM tr) / ({K}.0::DOUBLE * n), 50), 1.0), 6) AS weight FROM classes c LEFT JOIN (SELECT label, count(*) AS n FROM tr GROUP BY label) t ON t.label = c.label",
+    "class_weights": f"WITH {LABELLED}, tr AS (SELECT label FROM labelled WHERE \"partition\" = 'train'), classes(i, label) AS (VALUES {CLASS_ROWS}) SELECT c.label, round(CASE WHEN n IS NULL THEN 1 ELSE least((SELECT count(*) FROM tr) / ({K}.0::DOUBLE * n), 50) END, 6) AS weight FROM classes c LEFT JOIN (SELECT label, count(*) AS n FROM tr GROUP BY label) t ON t.label = c.label",
     "sessions_with_cap": naive_sessions(60, 3600, False) + "SELECT * FROM spans",
     "sessions_gap_only": naive_sessions(60, 10**9, False) + "SELECT * FROM spans",
     "sessions_fin_rst": naive_sessions(60, 3600, True) + "SELECT * FROM spans",
