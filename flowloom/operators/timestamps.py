@@ -217,6 +217,8 @@ def normalize_timestamps(df: DataFrame, text_col: str, writers: DataFrame, write
     text = bare(F.col(text_col).cast("string"))
     habits = date_habits(df, text, writer_col, micros(F.col(arrival_col)))
     known = writers.select(F.col(writer_col).alias("__w"), F.col(zone_col).alias("__zone")).dropDuplicates(["__w"]).join(habits.select(F.col("w").alias("__h"), F.col("month_first").alias("__month_first")), F.col("__w") == F.col("__h"), "left").drop("__h")
-    rows = df.join(if_small(known), F.col(writer_col).eqNullSafe(F.col("__w")), "left")
-    value = _utc_us(text, shape(text), F.col("__zone"), F.coalesce("__month_first", F.lit(False)))
+    known = if_small(known)
+    rows = df.join(known, df[writer_col].eqNullSafe(known["__w"]), "left")
+    text = bare(df[text_col].cast("string"))
+    value = _utc_us(text, shape(text), known["__zone"], F.coalesce(known["__month_first"], F.lit(False)))
     return rows.select(*[df[c] for c in df.columns if c != out], value.alias(out))
