@@ -35,7 +35,7 @@ def reduce_steps(steps: str, longest: int) -> str:
     for c in steps:
         x = at[c]
         depth.append(x)
-        at = {d: min(v, x) if d != c else x + 1 for d, v in at.items()}
+        at = {d: x + 1 if d == c else min(v, x + 1) for d, v in at.items()}
     kept = []
     at = dict.fromkeys(at, 1)
     for c, x in zip(reversed(steps), reversed(depth), strict=True):
@@ -43,7 +43,7 @@ def reduce_steps(steps: str, longest: int) -> str:
         if x + y > longest + 1:
             continue
         kept.append(c)
-        at = {d: min(v, y) if d != c else y + 1 for d, v in at.items()}
+        at = {d: y + 1 if d == c else min(v, y + 1) for d, v in at.items()}
     return "".join(reversed(kept))
 
 
