@@ -22,9 +22,9 @@ ALIASES = {
 }
 
 
-def normalize_columns(df: DataFrame) -> DataFrame:
-    """Lower snake-case names; of names equal after that the first column stays."""
-    names = [normalize_name(c) for c in df.columns]
+def normalize_columns(df: DataFrame, headers: list[str] | None = None) -> DataFrame:
+    """Lower snake-case names (of `headers`, else the columns' own); of names equal after that the first column stays."""
+    names = [normalize_name(c) for c in headers or df.columns]
     unique = [f"__{i}" for i in range(len(names))]
     return df.toDF(*unique).select(*[F.col(unique[i]).alias(n) for i, n in enumerate(names) if names.index(n) == i])
 
@@ -78,14 +78,15 @@ def synthetic_clock(df: DataFrame, seq: str, time: str = "timestamp") -> DataFra
     return placed.withColumn(time, F.expr("timestamp_ntz'1970-01-01'") + F.make_dt_interval(F.col("day_order"), F.lit(0), F.lit(0), F.col("__at").cast("decimal(18,6)"))).drop("__at")
 
 
-def place_in_group(df: DataFrame, group: list[str], seq: str, out: str, blocks: int = 1024) -> DataFrame:
-    """0-based place of each row in its group by seq: counts per range block plus the place inside the block."""
-    block = F.floor(F.col(seq) / F.lit(blocks))
-    rows = df.withColumn("__block", block)
+def place_in_group(df: DataFrame, group: list[str], seq: str, out: str, blocks: int = 1024, by: Column | None = None) -> DataFrame:
+    """0-based place of each row in its group by seq (or by `by`, then seq): rows of a block are ranked, and the counts
+    of earlier blocks added, so a group of any size is spread over its blocks (`blocks` values of the order each)."""
+    order = F.col(seq) if by is None else by
+    rows = df.withColumn("__order", order).withColumn("__block", F.floor(F.col("__order") / F.lit(blocks)))
     counts = rows.groupBy(*group, "__block").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     same = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "__block"]])
-    inside = rows.withColumn("__in", F.row_number().over(Window.partitionBy(*group, "__block").orderBy(seq)) - 1)
+    inside = rows.withColumn("__in", F.row_number().over(Window.partitionBy(*group, "__block").orderBy("__order", seq)) - 1)
     return inside.alias("l").join(before.alias("r"), same).select(*[F.col(f"l.{c}") for c in df.columns], (F.col("__before") + F.col("__in")).cast("bigint").alias(out))
 
 
@@ -129,11 +130,21 @@ def hash_order(seq: str, salt: int = 0) -> Column:
 
 
 def stratified_split(df: DataFrame, label: str, seq: str, test: float = 0.20, val: float = 0.15) -> DataFrame:
-    """`partition` by label: in hash order the first `test` share, then `val` of the rest; fewer than 2 rows raise."""
-    total = F.count("*").over(Window.partitionBy(label))
-    at = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(seq), seq))
-    n_test, n_val = F.ceil(total * F.lit(test)), F.ceil((total - F.ceil(total * F.lit(test))) * F.lit(val))
-    return df.withColumn("partition", F.when(at <= n_test, "test").when(at <= n_test + n_val, "val").otherwise("train"))
+    """`partition` by label: in hash order the first `test` share, then `val` of the rest, both rounded up.
+
+    A class of fewer than three rows can't be in all three parts and raises. The largest class is spread over blocks of
+    the hash order.
+    """
+    sizes = df.groupBy(label).agg(F.count("*").alias("__total"))
+    small = [r[0] for r in sizes.where("__total < 3").limit(20).collect()]
+    if small:
+        raise ValueError(f"classes with fewer than 3 rows can't be split: {small}; drop them or join them to others")
+    placed = place_in_group(df, [label], seq, "__at", 1 << 22, hash_order(seq))
+    total, at = F.col("__total"), F.col("__at") + 1
+    n_test = F.ceil(total * F.lit(test))
+    n_val = F.ceil((total - n_test) * F.lit(val))
+    counted = placed.alias("p").join(F.broadcast(sizes.alias("s")), F.col(f"p.{label}").eqNullSafe(F.col(f"s.{label}"))).select("p.*", "s.__total")  # one row a class
+    return counted.withColumn("partition", F.when(at <= n_test, "test").when(at <= n_test + n_val, "val").otherwise("train")).drop("__at", "__total")
 
 
 def seed_zero_shot(df: DataFrame, label: str, seq: str, most: int = 500) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.config import IDENTIFIER_COLUMNS, PROVENANCE_COLUMNS, SETTINGS
 from flowloom.operators.clean import numeric_columns
 
+BUCKETS = 1024
 # Name parts that put a feature into a group, tried in this order.
 GROUPS = {
     "A": (
@@ -37,17 +41,81 @@ def model_feature_sets(columns: list[str]) -> dict[str, list[str]]:
     return {"forest": pick("A", "B"), "boosting": pick("B", "D"), "context": pick("C")}
 
 
+def order_statistics(df: DataFrame, columns: dict[str, Column], ranks: dict[str, Callable[[int], list[int]]]) -> dict[str, tuple[int, list[float]]]:
+    """(n, values at the wanted 0-based ranks) of each column, exactly; nulls don't count.
+
+    Each round counts the values of every interval that still holds a wanted rank in BUCKETS parts (logarithmic first,
+    then linear), all intervals in one scan with partial aggregation, and keeps the part that holds the rank, until its
+    least and greatest value are equal. Nothing grows with the data: a round returns BUCKETS rows an interval at most.
+    """
+    slim = df.select(*[x.alias(c) for c, x in columns.items()])
+    ends = slim.agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("a"), F.max(c).alias("b")).alias(c) for c in columns]).first()
+    out = {c: (ends[c]["n"], [None] * len(ranks[c](ends[c]["n"]))) for c in columns}
+    todo = [(c, i, r, ends[c]["a"], ends[c]["b"]) for c in columns if ends[c]["n"] for i, r in enumerate(ranks[c](ends[c]["n"]))]
+    first = True
+    while True:
+        for c, i, _, a, b in todo:
+            if a == b:
+                out[c][1][i] = a
+        todo = [t for t in todo if t[3] != t[4]]
+        if not todo:
+            return out
+        spans = sorted({(c, a, b) for c, _, _, a, b in todo})
+        parts = []
+        for k, (c, a, b) in enumerate(spans):
+            g = (lambda x: F.signum(x) * F.log1p(F.abs(x))) if first else (lambda x: x)
+            ga, gb = (math.copysign(math.log1p(abs(v)), v) if first else v for v in (a, b))
+            if not ga < gb:  # too near for the logarithm
+                g, ga, gb = (lambda x: x), a, b
+            part = F.least(F.lit(BUCKETS - 1), F.greatest(F.lit(0), F.floor((g(F.col(c)) - F.lit(ga)) / F.lit(gb - ga) * BUCKETS))).cast("int")
+            parts.append(F.when(F.col(c).between(a, b), F.struct(F.lit(k).alias("k"), part.alias("part"), F.col(c).alias("x"))))
+        counts = slim.select(F.explode(F.array_compact(F.array(*parts))).alias("v")).groupBy("v.k", "v.part").agg(F.count("*").alias("n"), F.min("v.x").alias("a"), F.max("v.x").alias("b")).orderBy("k", "a").collect()
+        by = {}
+        for r in counts:
+            by.setdefault(r["k"], []).append(r)
+        new = []
+        for c, i, rank, a, b in todo:
+            left = rank
+            for r in by[spans.index((c, a, b))]:
+                if left < r["n"]:
+                    new.append((c, i, left, r["a"], r["b"]))
+                    break
+                left -= r["n"]
+        todo, first = new, False
+
+
+def clipped_to(x: Column, lo: float, hi: float) -> Column:
+    """x within lo..hi; null stays null."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
+
+
+def _between(n: int, q: float) -> tuple[int, int, float]:
+    """The two ranks a quantile lies between, and how far along."""
+    at = max(0, n - 1) * q
+    return math.floor(at), math.ceil(at), at - math.floor(at)
+
+
 def fit_scaler(train: DataFrame, columns: list[str], percentile: float = SETTINGS.outlier_percentile, floor: float = SETTINGS.variance_floor) -> DataFrame:
     """(feature, lo, hi, median, variance, low, high, kept): exact clip bounds, then what the clipped values have.
 
-    Two aggregates over all features at once; missing values take the median of the clipped ones.
+    Clipping keeps the order, so the median of the clipped values comes from the same order statistics as the bounds.
+    Missing values take that median; variance is that of the population.
     """
     x = {c: F.when(F.abs(F.col(c).cast("double")) < F.lit(float("inf")), F.col(c).cast("double")) for c in columns}
     low = (100 - percentile) / 100
-    one = train.agg(*[F.percentile(x[c], F.array(F.lit(low), F.lit(1 - low))).alias(c) for c in columns]).first()
-    bound = {c: (one[c] or [0.0, 0.0]) for c in columns}
-    clip = {c: F.least(F.greatest(x[c], F.lit(bound[c][0])), F.lit(bound[c][1])) for c in columns}
-    med = train.agg(*[F.median(clip[c]).alias(c) for c in columns]).first()
+    wanted = lambda n: [r for q in (low, 1 - low, 0.5) for r in _between(n, q)[:2]]
+    found = order_statistics(train, x, dict.fromkeys(columns, wanted))
+    bound, med = {}, {}
+    for c in columns:
+        n, v = found[c]
+        if not n:
+            bound[c], med[c] = (0.0, 0.0), None
+            continue
+        mix = lambda i, q, f=float: f(v[2 * i]) + (f(v[2 * i + 1]) - f(v[2 * i])) * _between(n, q)[2]  # noqa: B023, E731
+        bound[c] = (mix(0, low), mix(1, 1 - low))
+        clipped = [min(max(y, bound[c][0]), bound[c][1]) for y in v[4:]]
+        med[c] = clipped[0] + (clipped[1] - clipped[0]) * _between(n, 0.5)[2]
+    clip = {c: clipped_to(x[c], *bound[c]) for c in columns}
     full = {c: F.coalesce(clip[c], F.lit(med[c] if med[c] is not None else 0.0)) for c in columns}
     rest = train.agg(*[F.struct(F.var_pop(full[c]).alias("v"), F.min(full[c]).alias("a"), F.max(full[c]).alias("b")).alias(c) for c in columns]).first()
     rows = [(c, float(bound[c][0]), float(bound[c][1]), med[c], rest[c]["v"], rest[c]["a"], rest[c]["b"], (rest[c]["v"] or 0.0) > floor) for c in columns]
@@ -60,7 +128,7 @@ def scale(df: DataFrame, params: list, keep: list[str]) -> DataFrame:
     for p in params:
         if p["kept"]:
             x = F.col(p["feature"]).cast("double")
-            v = F.coalesce(F.least(F.greatest(F.when(F.abs(x) < F.lit(float("inf")), x), F.lit(p["lo"])), F.lit(p["hi"])), F.lit(p["median"]))
+            v = F.coalesce(clipped_to(F.when(F.abs(x) < F.lit(float("inf")), x), p["lo"], p["hi"]), F.lit(p["median"]))
             out.append(((v - p["low"]) / ((p["high"] - p["low"]) or 1.0)).alias(p["feature"]))
     return df.select(*keep, *out)
 

@@ -120,13 +120,13 @@ _TOKEN_ID = "CASE token " + " ".join(f"WHEN {text(t)} THEN {i}" for i, t in enum
 _fin = lambda c: f"CASE WHEN isfinite({c}::DOUBLE) THEN {c}::DOUBLE END"
 _per_feature = " UNION ALL ".join(
     f"""SELECT {text(c)} AS feature, lo, hi, median(x) AS median, var_pop(f) AS variance, min(f) AS low, max(f) AS high FROM (
-  SELECT x, coalesce(x, median(x) OVER ()) AS f, lo, hi FROM (SELECT least(greatest({_fin(c)}, lo), hi) AS x, lo, hi FROM train,
+  SELECT x, coalesce(x, median(x) OVER ()) AS f, lo, hi FROM (SELECT CASE WHEN {_fin(c)} IS NOT NULL THEN least(greatest({_fin(c)}, lo), hi) END AS x, lo, hi FROM train,
     (SELECT quantile_cont({_fin(c)}, 0.01) AS lo, quantile_cont({_fin(c)}, 0.99) AS hi FROM train))) GROUP BY lo, hi"""
     for c in QUERY_SCALED
 )
 PARAMS = f"""train AS (SELECT * FROM flow_records WHERE "partition" = 'train'), params AS ({_per_feature})"""
 _scaled = ", ".join(
-    f"""round((coalesce(least(greatest({_fin("r." + c)}, p{i}.lo), p{i}.hi), p{i}.median) - p{i}.low) / (CASE WHEN p{i}.high = p{i}.low THEN 1 ELSE p{i}.high - p{i}.low END), 6) + 0.0::DOUBLE AS {c}"""
+    f"""round((coalesce(CASE WHEN {_fin("r." + c)} IS NOT NULL THEN least(greatest({_fin("r." + c)}, p{i}.lo), p{i}.hi) END, p{i}.median) - p{i}.low) / (CASE WHEN p{i}.high = p{i}.low THEN 1 ELSE p{i}.high - p{i}.low END), 6) + 0.0::DOUBLE AS {c}"""
     for i, c in enumerate(QUERY_SCALED) if c != "fwd_urg_flags"
 )
 _param_joins = " ".join(f"JOIN params p{i} ON p{i}.feature = {text(c)}" for i, c in enumerate(QUERY_SCALED) if c != "fwd_urg_flags")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv as csv_lines
 import logging
 from pathlib import Path
 
@@ -54,7 +55,9 @@ def read_file(spark: SparkSession, path: str, day: str) -> DataFrame:
     """One file, all columns as text under normalized names, with its day and name; a code page is read where it isn't UTF-8."""
     utf8 = is_utf8(path)
     raw = spark.read.option("header", True).option("encoding", "UTF-8" if utf8 else "ISO-8859-1").option("ignoreLeadingWhiteSpace", False).csv(path)
-    df = clean.normalize_columns(raw)
+    with open(path, encoding="utf-8" if utf8 else "iso-8859-1", newline="") as f:  # Spark renames repeated headers
+        headers = next(csv_lines.reader(f), [])
+    df = clean.normalize_columns(raw, headers if len(headers) == len(raw.columns) else None)
     if not utf8:
         controls = bytes(range(0x80, 0xA0)).decode("latin-1")
         df = df.select(*[F.translate(c, controls, WESTERN).alias(c) for c in df.columns])

@@ -191,6 +191,19 @@ def test_scaling_within_bounds(spark):
     assert all(0 <= v <= 1 for v in got)
 
 
+def test_order_statistics(spark):
+    import numpy as np
+
+    rnd = random.Random(11)
+    vals = [rnd.choice([0.0, 1.0, -3.5, rnd.gauss(0, 1e-9), rnd.expovariate(1e-6), 1e15 + rnd.random()]) for _ in range(3000)]
+    df = spark.createDataFrame([(v, None if i % 3 else v, None) for i, v in enumerate(vals)], "x double, y double, z double")
+    p = {r["feature"]: r for r in features.fit_scaler(df, ["x", "y", "z"]).collect()}
+    for c, v in (("x", vals), ("y", vals[::3])):
+        lo, hi = np.percentile(v, [1, 99])
+        assert p[c]["lo"] == pytest.approx(lo) and p[c]["hi"] == pytest.approx(hi) and p[c]["median"] == pytest.approx(np.median(np.clip(v, lo, hi)))
+    assert p["z"]["median"] is None and not p["z"]["kept"]
+
+
 def test_empty_tables(spark):
     none = flows(spark, [0]).where("false")
     assert sessions.tag_sessions(none, "us", "flow_duration", "record_id").count() == 0
