@@ -161,11 +161,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABE
     share = [F.avg(F.when((F.col("verdict") == 1) & (F.col("category") == c), 1.0).otherwise(0.0)).alias(c) for c in CATEGORIES]
     votes = labels.where("doc_id IS NOT NULL AND verdict IS NOT NULL").groupBy("doc_id").agg(F.avg("verdict").alias("any"), F.count("*").alias("n"), *share).where("any <> 0.5")
     votes = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    texts = votes.join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").where("text IS NOT NULL")
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(votes), "doc_id").dropDuplicates(["doc_id"])  # most_labelled rows at most
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.drop(columns="text").assign(f=[sorted(features(t)) for t in pdf["text"]])
+            yield pdf.assign(f=[sorted(features(t)) for t in pdf["text"]])[["doc_id", "any", "n", *CATEGORIES, "f"]]
 
     schema = "doc_id bigint, any double, n bigint, " + ", ".join(f"{c} double" for c in CATEGORIES) + ", f array<string>"
     labelled = texts.mapInPandas(explode, schema).persist()
