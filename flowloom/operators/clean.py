@@ -161,3 +161,14 @@ def class_weights(train: DataFrame, label: str = "label", cap: float = SETTINGS.
     counts = train.where(F.col(label).isin(*CLASSES)).groupBy(F.col(label).alias("__l")).agg(F.count("*").alias("n"))
     whole = counts.agg(F.sum("n").alias("total"))
     return classes.join(F.broadcast(counts), F.col("label") == F.col("__l"), "left").join(F.broadcast(whole)).select("label", F.when(F.col("n").isNull(), 1.0).otherwise(F.least(F.col("total") / (F.lit(len(CLASSES)) * F.col("n")), F.lit(cap))).alias("weight"))  # 15 and 1 rows
+
+
+def class_weight_array(weights: DataFrame) -> list[float]:
+    """Weights in class order (15 rows)."""
+    by = {r["label"]: r["weight"] for r in weights.collect()}
+    return [by.get(c, 1.0) for c in CLASSES]
+
+
+def sample_rows(df: DataFrame, seq: str, n: int, salt: int = SETTINGS.seed) -> DataFrame:
+    """n rows in hash order: the same ones at every run and on any engine."""
+    return df.orderBy(hash_order(seq, salt), seq).limit(n)

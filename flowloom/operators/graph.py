@@ -26,6 +26,14 @@ def graph_edges(steps: DataFrame, rho: float = SETTINGS.rho) -> DataFrame:
     return ranked.groupBy("src", "dst").agg(F.sum(F.lit(1 - rho) * F.pow(F.lit(rho), F.col("r") - 1)).alias("weight"))
 
 
+def update_edges(edges: DataFrame, new: DataFrame, rho: float = SETTINGS.rho) -> DataFrame:
+    """The graph after the transitions of later sessions (steps `new`): old weights fade by rho^m, m the source's new transitions."""
+    fresh = graph_edges(new, rho)
+    m = transitions(new).groupBy("src").agg(F.count("*").alias("m"))
+    old = edges.join(F.broadcast(m), "src", "left").select("src", "dst", (F.col("weight") * F.pow(F.lit(rho), F.coalesce("m", F.lit(0)))).alias("weight"))  # one row a token
+    return old.unionByName(fresh).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
 def edge_weight(pairs: DataFrame, edges: DataFrame, novel: float = SETTINGS.novel_weight) -> DataFrame:
     """pairs with `weight`: the edge's, 0 for an unseen target of a seen source, `novel` for an unseen source."""
     seen = edges.groupBy(F.col("src").alias("__src")).agg(F.map_from_entries(F.collect_list(F.struct("dst", "weight"))).alias("__to"))

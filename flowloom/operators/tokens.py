@@ -65,6 +65,12 @@ def sequences(steps: DataFrame) -> DataFrame:
     return steps.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("us", "seq_no", "token"))).alias("seq"))
 
 
+def last_steps(steps: DataFrame, most: int = SETTINGS.sequence_length) -> DataFrame:
+    """The last `most` steps of each session; Spark limits each group before the shuffle."""
+    newest = Window.partitionBy("session").orderBy(F.desc("us"), F.desc("seq_no"))
+    return steps.withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= most).drop("__r")
+
+
 def last_indices(tokens: Column, most: int = SETTINGS.sequence_length) -> Column:
     """Ids 0..9 of the last `most` tokens."""
     ids = F.transform(tokens, lambda t: F.array_position(F.lit(list(TOKENS)), t) - 1)

@@ -194,7 +194,7 @@ def session_sequences(spark, d):
 
 
 def seq_last_n_indices(spark, d):
-    return tokens.sequences(tagged(spark, d)).select("session", F.array_join(tokens.last_indices(F.transform("seq", lambda x: x["token"]), 8), ",").alias("ids"))
+    return tokens.sequences(tokens.last_steps(tagged(spark, d), 8)).select("session", F.array_join(tokens.last_indices(F.transform("seq", lambda x: x["token"]), 8), ",").alias("ids"))
 
 
 def transitions(spark, d):
@@ -214,6 +214,17 @@ def graph_edges_ema(spark, d):
     return _edges(spark, d, "train").select("src", "dst", r6("weight").alias("weight"))
 
 
+def graph_edges_incremental(spark, d):
+    """Built on earlier sessions, then brought up to date with later ones."""
+    steps = tagged(spark, d)
+    begin = steps.groupBy(F.col("session").alias("s")).agg(F.min("us").alias("begin"))
+    cut = begin.agg(F.avg("begin").cast("bigint").alias("cut"))
+    marked = steps.join(begin.join(F.broadcast(cut)), F.col("session") == F.col("s")).withColumn("late", F.col("begin") > F.col("cut"))  # one row
+    names = ("session", "us", "seq_no", "token")
+    old = graph.graph_edges(marked.where(~F.col("late")).select(*names))
+    return graph.update_edges(old, marked.where("late").select(*names)).select("src", "dst", r6("weight").alias("weight"))
+
+
 def graph_full(spark, d):
     return graph.full_graph(spark, _edges(spark, d, "train")).select("src", "dst", r6("weight").alias("weight"))
 
@@ -471,6 +482,21 @@ def ablation_compare(spark, d):
     return out.select("run", *[r6(c).alias(c) for c in out.columns if c != "run"])
 
 
+def attack_alerts(spark, d):
+    return fixed_risk(scored(spark, d)).where("tier = 'ATTACK'").select("session_id", r6("risk").alias("risk"))
+
+
+def sample_rows(spark, d):
+    return clean.sample_rows(table(spark, d, "flow_records"), "record_id", 250).select("record_id")
+
+
+def top_attributions(spark, d):
+    """The two largest attributions of each flow, of three made ones."""
+    t = table(spark, d, "flow_records")
+    made = F.create_map(F.lit("fwd"), F.col("total_fwd_packets") - 5.0, F.lit("bwd"), F.col("total_backward_packets") - 4.0, F.lit("win"), F.coalesce("init_win_bytes_backward", F.lit(0)) / 4096.0 - 1.0)
+    return t.select("record_id", explain.listed(explain.top_attributions(made, 2)).alias("top"))
+
+
 # fitted models (checked by invariants)
 
 
@@ -530,9 +556,9 @@ def tree_explain(spark, d):
 NAMES = (
     "flow_end_time session_key_symmetric normalize_labels unresolved_label_drop ts_multi_format ts_whole_column ts_impute_clock synthetic_clock clean_inf_nan split_counts label_day_counts zero_shot_classes "
     "limit_per_file stratified_split_counts seeded_rows class_weights sessions_with_cap sessions_gap_only sessions_fin_rst session_size_hist sessions_flow_level session_summary tokens_encode token_counts "
-    "token_rule_table session_sequences seq_last_n_indices transitions transition_counts graph_edges_ema graph_full edge_weight_lookup tc_t tc_t_lambda_sweep g_w graph_paths lambda_auc mean_gap pooled_gap "
+    "token_rule_table session_sequences seq_last_n_indices transitions transition_counts graph_edges_ema graph_edges_incremental graph_full edge_weight_lookup tc_t tc_t_lambda_sweep g_w graph_paths lambda_auc mean_gap pooled_gap "
     "inv_dt_norm clip_bounds scaler_params variance_filter scaled_features feature_groups mi_binned fp_singletons fp_itemsets fp_itemsets_all fp_match_score seq_pairs_support gap_match prefixspan_full sp_t "
     "prob_mean_by_session fuse_scores fused_prediction fusion_grid risk_meta_features risk_tiers smote_targets confusion per_class_report macro_f1 macro_f1_present fpr pr_auc mcnemar bootstrap_ci "
-    "stream_assign_windows stream_window_counts stream_n_windows early_detection missed_sessions alert_report_text ablation_compare rf_probs gbt_probs token_model_probs logistic_risk smote_rows tree_explain"
+    "stream_assign_windows stream_window_counts stream_n_windows early_detection missed_sessions alert_report_text attack_alerts sample_rows top_attributions ablation_compare rf_probs gbt_probs token_model_probs logistic_risk smote_rows tree_explain"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

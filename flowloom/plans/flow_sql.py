@@ -242,4 +242,10 @@ SELECT session_id, 'Alert for Session ' || session_id || ' (' || predicted_class
   || '  Recommended action: Review session; correlate source IP against recent alerts.' AS report FROM fused LEFT JOIN path ON session = session_id""",
     "ablation_compare": f"WITH {SCORED}, {fused(0.30, 0.35, 0.25, 0.05, 0.05, 'full_')}, {fused(0.30, 0.35, 0.25, 0.05, 0.05, 'nop', sp='0.0')}, {fused(0.30, 0.35, 0.25, 0.05, 0.05, 'nog', tc='0.0')}, {fused(1 / 3, 1 / 3, 1 / 3, 0.0, 0.0, 'eq')}, {report('full_')}, {report('nop')[report('nop').index('nop_rep'):]}, {report('nog')[report('nog').index('nog_rep'):]}, {report('eq')[report('eq').index('eq_rep'):]} "
     + " UNION ALL ".join(f"SELECT {text(run)} AS run, (SELECT round(avg(f1), 6) FROM {n}_f) AS macro_f1, (SELECT round(count_if(label = 'BENIGN' AND predicted_class <> 'BENIGN') / count_if(label = 'BENIGN')::DOUBLE, 6) FROM {n}) AS fpr, (SELECT round(f1, 6) FROM {n}_f WHERE class = 'Heartbleed') AS heartbleed_f1, (SELECT round(f1, 6) FROM {n}_f WHERE class = 'Infiltration') AS infiltration_f1" for run, n in (("full", "full_"), ("no_patterns", "nop"), ("no_graph", "nog"), ("equal_weights", "eq"))),
+    "graph_edges_incremental": f"WITH {STEPS}, {TRANS}, {edges()} SELECT src, dst, round(weight, 6) AS weight FROM edges",
+    "attack_alerts": f"WITH {SCORED} SELECT session_id, round({_risk}, 6) AS risk FROM scored WHERE {_risk} >= 0.75",
+    "sample_rows": "SELECT record_id FROM flow_records ORDER BY ((record_id + 42) * 2654435761) % 4294967296, record_id LIMIT 250",
+    "top_attributions": """WITH v AS (SELECT record_id, unnest(['fwd', 'bwd', 'win']) AS name, unnest([total_fwd_packets - 5.0::DOUBLE, total_backward_packets - 4.0::DOUBLE, coalesce(init_win_bytes_backward, 0) / 4096.0::DOUBLE - 1.0]) AS x FROM flow_records),
+r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY abs(x) DESC, name) AS rn FROM v)
+SELECT record_id, string_agg(printf('%s(%+.3f)', name, x), ', ' ORDER BY rn) AS top FROM r WHERE rn <= 2 GROUP BY record_id""",
 }

@@ -38,6 +38,12 @@ def prepare(flows: DataFrame, settings: Settings = SETTINGS) -> tuple[DataFrame,
     return stored(tokens.encode_events(tagged)), columns
 
 
+def prepare_stratified(flows: DataFrame, test: float = 0.20, val: float = 0.15, settings: Settings = SETTINGS) -> tuple[DataFrame, list[str]]:
+    """As prepare, with a stratified split in place of the one by weekday."""
+    seq = "record_id" if "record_id" in flows.columns else "row_seq"
+    return prepare(clean.stratified_split(clean.known_labels(flows), "label", seq, test, val), settings)
+
+
 def steps_of(flows: DataFrame) -> DataFrame:
     return flows.select(F.col("session_id").alias("session"), "us", "seq_no", "token")
 
