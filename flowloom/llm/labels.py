@@ -68,7 +68,7 @@ PREFIXES = frozenset("label attack auto possible prob probably maybe likely clas
 SUFFIXES = frozenset("2 3 x2 x3 a b".split())
 _WORD = re.compile(r"[^\W_]+")
 _ENDS = ("?", "!", "*", ".", "]")
-_REMARK = re.compile(r"[-–—/,;:(\[{|\x80-\x9f�\t]|[^\x00-\x7F\xa0]|  ")
+_REMARK = re.compile(r"[-–—/,;:(\[{|\x80-\x9f�\t]|[^\x00-\x7F\xa0]")
 
 
 def squeeze(text: str) -> str:
