@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from flowloom.config import SETTINGS
 
 
+MOST_MATCHED = 10_000
+
+
 def itemsets(tokens: DataFrame, min_support: float = SETTINGS.itemset_support) -> DataFrame:
     """(items, freq, support): tokens (session, items array of distinct tokens)."""
     n = tokens.count()
@@ -55,16 +58,29 @@ def sequence_patterns(seqs: DataFrame, min_support: float = SETTINGS.sequence_su
     items = seqs.select(F.transform("seq", lambda x: F.array(x["token"])).alias("sequence"))
     found = PrefixSpan(minSupport=min_support, maxPatternLength=longest).findFrequentSequentialPatterns(items)
     top = found.where(F.size("sequence") >= 2).select(F.transform("sequence", lambda x: x[0]).alias("pattern"), "freq").where(F.col("freq") >= max(1, math.ceil(min_support * n))).orderBy(F.desc("freq"), "pattern").limit(most)
-    held = seqs.select("seq").join(F.broadcast(top), F.forall(F.col("pattern"), lambda p: F.exists(F.col("seq"), lambda x: x["token"] == p)))  # `most` rows
-    counted = held.where(gap_match(F.col("seq"), F.col("pattern"), F.size("pattern"), max_gap_s)).groupBy("pattern").agg(F.first("freq").alias("freq"), F.count("*").alias("m"))
-    return counted.select("pattern", "freq", (F.col("m") / F.lit(n)).alias("support")).where(F.col("support") >= min_support)
+    few = [r["pattern"] for r in top.select("pattern").collect()]  # `most` rows
+    held = seqs.select(F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(few) - 1)), lambda i: _holds(F.col("seq"), few, i, max_gap_s))).alias("i")) if few else None
+    if held is None:
+        return top.select("pattern", "freq", F.lit(0.0).alias("support")).where("false")
+    counted = held.groupBy("i").agg(F.count("*").alias("m")).select(F.get(F.lit(few), F.col("i")).alias("p"), "m")
+    return top.join(F.broadcast(counted), F.col("pattern") == F.col("p")).select("pattern", "freq", (F.col("m") / F.lit(n)).alias("support")).where(F.col("support") >= min_support)  # `most` rows
+
+
+def _holds(seq: Column, patterns: list[list[str]], i: Column, max_gap_s: float) -> Column:
+    pattern = F.get(F.lit(patterns), i)
+    return gap_match(seq, pattern, F.size(pattern), max_gap_s)
 
 
 def sequence_match(seqs: DataFrame, patterns: DataFrame, max_gap_s: float = SETTINGS.max_gap_s) -> DataFrame:
     """(session, seq_score): the greatest support of a pattern the session holds, 0 without one; patterns are few (<= 200)."""
-    few = patterns.select("pattern", "support").agg(F.collect_list(F.struct("support", "pattern")).alias("ps"))
-    hits = F.transform("ps", lambda p: F.when(gap_match(F.col("seq"), p["pattern"], F.size(p["pattern"]), max_gap_s), p["support"]).otherwise(0.0))
-    return seqs.join(F.broadcast(few)).select("session", F.coalesce(F.array_max(hits), F.lit(0.0)).alias("seq_score"))
+    rows = patterns.select("pattern", "support").orderBy(F.desc("support"), "pattern").limit(MOST_MATCHED + 1).collect()
+    if len(rows) > MOST_MATCHED:
+        raise ValueError(f"more than {MOST_MATCHED} patterns")
+    if not rows:
+        return seqs.select("session", F.lit(0.0).alias("seq_score"))
+    few, support = [r["pattern"] for r in rows], [r["support"] for r in rows]
+    hits = F.transform(F.sequence(F.lit(0), F.lit(len(few) - 1)), lambda i: F.when(_holds(F.col("seq"), few, i, max_gap_s), F.get(F.lit(support), i)).otherwise(0.0))
+    return seqs.select("session", F.array_max(hits).alias("seq_score"))
 
 
 def sp_t(fp: DataFrame, seq: DataFrame) -> DataFrame:

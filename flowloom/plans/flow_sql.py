@@ -248,4 +248,10 @@ SELECT session_id, 'Alert for Session ' || session_id || ' (' || predicted_class
     "top_attributions": """WITH v AS (SELECT record_id, unnest(['fwd', 'bwd', 'win']) AS name, unnest([total_fwd_packets - 5.0::DOUBLE, total_backward_packets - 4.0::DOUBLE, coalesce(init_win_bytes_backward, 0) / 4096.0::DOUBLE - 1.0]) AS x FROM flow_records),
 r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY abs(x) DESC, name) AS rn FROM v)
 SELECT record_id, string_agg(printf('%s(%+.3f)', name, x), ', ' ORDER BY rn) AS top FROM r WHERE rn <= 2 GROUP BY record_id""",
+    "fp_itemsets_all": f"""WITH RECURSIVE {STEPS}, once AS (SELECT DISTINCT session, token FROM steps), n AS (SELECT count(DISTINCT session)::DOUBLE AS n FROM once),
+sets AS (SELECT session, token AS items, token AS last FROM once UNION ALL SELECT s.session, s.items || ',' || o.token, o.token FROM sets s JOIN once o ON o.session = s.session AND o.token > s.last)
+SELECT items, count(*) AS freq, round(count(*) / any_value(n), 6) AS support FROM sets, n GROUP BY items HAVING count(*) >= ceil(any_value(n) * 0.02)""",
+    "fusion_grid": f"""WITH {SCORED}, v AS (SELECT label, {", ".join(f"({CLASS_LIST})[list_position({m}, list_max({m}))] AS {m}" for m in ("p_a", "p_b", "p_c"))} FROM scored WHERE "partition" = 'val' AND label IS NOT NULL),
+{", ".join(f"f_{m} AS (SELECT avg(2.0::DOUBLE * tp / (a + b)) AS f FROM (SELECT c, (SELECT count(*) FROM v WHERE label = c AND {m} = c) AS tp, (SELECT count(*) FROM v WHERE label = c) AS a, (SELECT count(*) FROM v WHERE {m} = c) AS b FROM (SELECT label AS c FROM v UNION SELECT {m} FROM v)))" for m in ("p_a", "p_b", "p_c"))}
+SELECT round(f_p_a.f / (f_p_a.f + f_p_b.f + f_p_c.f), 6) AS a, round(f_p_b.f / (f_p_a.f + f_p_b.f + f_p_c.f), 6) AS b, round(f_p_c.f / (f_p_a.f + f_p_b.f + f_p_c.f), 6) AS c, 0.0::DOUBLE AS s, 0.0::DOUBLE AS t FROM f_p_a, f_p_b, f_p_c""",
 }

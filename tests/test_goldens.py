@@ -191,6 +191,44 @@ def test_scaling_within_bounds(spark):
     assert all(0 <= v <= 1 for v in got)
 
 
+def test_sequence_patterns_against_brute_force(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    rnd = random.Random(7)
+    sess = {f"s{i}": [(rnd.choice("abc"), 0) for _ in range(rnd.randint(1, 7))] for i in range(25)}
+    data, times = [], {}
+    for s, toks in sess.items():
+        t = 0
+        times[s] = []
+        for c, _ in toks:
+            t += rnd.choice([100, 800, 1000])
+            times[s].append((t, c))
+            data.append((s, t * US, len(data), c))
+    seqs = tokens.sequences(spark.createDataFrame(data, "session string, us long, seq_no long, token string"))
+
+    def matched(seq, pat):
+        p, last = 0, 0
+        for t, c in seq:
+            if p < len(pat) and c == pat[p]:
+                if p and t - last > 900:
+                    p, last = (1, t) if c == pat[0] else (0, 0)
+                else:
+                    p, last = p + 1, t
+        return p == len(pat)
+
+    freq = Counter()
+    for seq in times.values():
+        freq.update({tuple(c for _, c in x) for k in (2, 3) for x in combinations(seq, k)})
+    top = sorted(((-n, p) for p, n in freq.items() if n >= 8))[:10]
+    want = {(p, -n, sum(matched(s, p) for s in times.values()) / 25) for n, p in top}
+    want = {w for w in want if w[2] >= 0.3}
+    found = mining.sequence_patterns(seqs, 0.3, 900, 3, 10)
+    assert {(tuple(r["pattern"]), r["freq"], r["support"]) for r in found.collect()} == want and want
+    best = {r["session"]: r["seq_score"] for r in mining.sequence_match(seqs, found, 900).collect()}
+    assert best == {s: max([w[2] for w in want if matched(seq, w[0])], default=0.0) for s, seq in times.items()}
+
+
 def test_order_statistics(spark):
     import numpy as np
 
