@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowloom.config import AUTH_PORTS, SETTINGS, TOKENS
 from flowloom.functions.net import no_nan
 
+SLICE_S = 3600
 # What each token means, in the order the rules are tried.
 RULES = (
     ("DOS_INDICATOR", "high packet rate without any reply"),
@@ -77,8 +78,19 @@ def last_indices(tokens: Column, most: int = SETTINGS.sequence_length) -> Column
     return F.when(F.size(ids) > most, F.slice(ids, -most, most)).otherwise(ids)
 
 
-def transitions(steps: DataFrame) -> DataFrame:
-    """(session, pos, src, dst, dt_s, us): each pair of neighbouring steps of a session."""
-    w = Window.partitionBy("session").orderBy("us", "seq_no")
-    pairs = steps.select("session", "us", (F.row_number().over(w) - 1).alias("pos"), F.col("token").alias("src"), F.lead("token").over(w).alias("dst"), ((F.lead("us").over(w) - F.col("us")) / 1e6).alias("dt_s"))
+def transitions(steps: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
+    """(session, pos, src, dst, dt_s, us): each pair of neighbouring steps of a session.
+
+    Steps are ordered within slices of time, so a session of any size is many tasks; the last step of a slice is followed
+    by the first of the session's next slice, which comes from one row per slice. Both use one shuffle of the steps.
+    """
+    rows = steps.select("session", "us", "seq_no", "token", F.floor(F.col("us") / F.lit(slice_s * 1_000_000)).alias("z")).repartition("session", "z")
+    w = Window.partitionBy("session", "z").orderBy("us", "seq_no")
+    inside = rows.select("session", "z", "us", (F.row_number().over(w) - 1).alias("i"), F.col("token").alias("src"), F.lead(F.struct("us", "token")).over(w).alias("next"))
+    heads = rows.groupBy("session", "z").agg(F.min(F.struct("us", "seq_no", "token")).alias("head"), F.count("*").alias("n"))
+    along = Window.partitionBy("session").orderBy("z")
+    after = heads.select(F.col("session").alias("s"), F.col("z").alias("zz"), F.lead("head").over(along).alias("head"), F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    both = inside.join(after, (F.col("session") == F.col("s")) & (F.col("z") == F.col("zz")))
+    nxt = F.coalesce(F.col("next"), F.struct(F.col("head.us").alias("us"), F.col("head.token").alias("token")))
+    pairs = both.select("session", "us", (F.col("before") + F.col("i")).alias("pos"), "src", nxt["token"].alias("dst"), ((nxt["us"] - F.col("us")) / 1e6).alias("dt_s"))
     return pairs.where("dst IS NOT NULL")
