@@ -3,8 +3,8 @@
 All entries and their alias paths lie in one trie of squeezed texts (lower-case letters and digits). A value is
 squeezed too and walked down the trie with a Levenshtein automaton (insertions, deletions, replacements and swapped
 neighbours cost 1), which returns every entry within a distance that depends on the entry's length. Values with
-remarks are tried at each place where one may begin or end; the least distance for its length wins, then the longer
-stretch. Entries of one distance that mean different classes leave the value unmatched only if no stretch is better.
+remarks are tried at each place where one may begin or end; a stretch that is an entry wins (the longest), else the
+least distance for its length, then the longer entry, then the smaller id.
 
 The trie is small (the reference list and its aliases) and goes along with the code; records are mapped in one pass
 without a shuffle, each distinct value once per worker (a dictionary of bounded size). Defined results: null and
