@@ -2,7 +2,7 @@
 
 Sessions come from the sweep (see sweep.py), so a hot key is spread over time slices; rows find theirs by an equal
 join on (group, slice) with the sessions' slices. With termination flags two rows of one instant may lie in different
-sessions; then breaks come from a window that streams each group in order, and long runs from one streaming pass.
+sessions; then rows are numbered one by one, also within slices.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from flowloom.config import SETTINGS
 from flowloom.operators.sweep import SLICE_S, US, sweep_sessions
+from flowloom.runtime import if_small, stored
 
 
 def session_name(day: str | Column, key: str | Column, number: str | Column) -> Column:
@@ -50,20 +51,36 @@ def _cut_rows(cap_us: int, keys: list[str]):
 
 
 def tag_sessions_terminated(df: DataFrame, us: str, duration: str, seq: str, gap_s: float = SETTINGS.session_gap_s, cap_s: float = SETTINGS.session_cap_s, day: str = "day", key: str = "session_key") -> DataFrame:
-    """(seq, session_id): a row after one with FIN or RST also opens a session."""
-    w = Window.partitionBy("__d", "__k").orderBy("__us", "__seq")
+    """(seq, session_id): a row after one with FIN or RST also opens a session.
+
+    Breaks are found within time slices; between slices they come from one row a slice, whose running sums number the
+    runs. Runs longer than the cap stream through one pass each.
+    """
     flag = lambda c: F.coalesce(F.col(c) > 0, F.lit(False)) if c in df.columns else F.lit(False)
-    rows = df.where(F.col(us).isNotNull() & F.col(day).isNotNull() & F.col(key).isNotNull()).select(F.col(day).alias("__d"), F.col(key).alias("__k"), F.col(us).alias("__us"), F.col(seq).alias("__seq"), (F.col(us) + F.greatest(F.coalesce(F.col(duration), F.lit(0)), F.lit(0))).alias("__end"), (flag("fin_flag_count") | flag("rst_flag_count")).alias("__over"))
-    new = F.coalesce((F.lag("__over").over(w) | (F.col("__us") - F.lag("__end").over(w) > int(gap_s * US))).cast("int"), F.lit(1))
-    runs = rows.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w)).withColumn("__first", F.min("__us").over(Window.partitionBy("__d", "__k", "__run"))).withColumn("__last", F.max("__us").over(Window.partitionBy("__d", "__k", "__run")))
-    slim = runs.select("__d", "__k", "__run", "__us", "__seq", "__first", "__last")
-    far = F.col("__last") - F.col("__first") > int(cap_s * US)
-    keys = ["__d", "__k", "__run"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields) + ", __part int"
-    cut = slim.where(far).repartition(*keys).sortWithinPartitions(*keys, "__us", "__seq").mapInPandas(_cut_rows(int(cap_s * US), keys), schema)
-    parts = cut.unionByName(slim.where(~far).withColumn("__part", F.lit(0)))
-    number = F.dense_rank().over(Window.partitionBy("__d", "__k").orderBy("__run", "__part")) - 1
-    return parts.select(F.col("__seq").alias(seq), session_name(F.col("__d"), F.col("__k"), number).alias("session_id"))
+    gap_us, cap_us, g, z = int(gap_s * US), int(cap_s * US), ["__d", "__k"], ["__d", "__k", "__z"]
+    rows = df.where(F.col(us).isNotNull() & F.col(day).isNotNull() & F.col(key).isNotNull()).select(
+        F.col(day).alias("__d"), F.col(key).alias("__k"), F.floor(F.col(us) / F.lit(SLICE_S * US)).alias("__z"), F.col(us).alias("__us"), F.col(seq).alias("__seq"),
+        (F.col(us) + F.greatest(F.coalesce(F.col(duration), F.lit(0)), F.lit(0))).alias("__end"), (flag("fin_flag_count") | flag("rst_flag_count")).alias("__over"),
+    ).repartition(*z)
+    w = Window.partitionBy(*z).orderBy("__us", "__seq")
+    split = lambda over, end, start: (over | (start - end > gap_us)).cast("int")
+    inside = rows.withColumn("__new", F.coalesce(split(F.lag("__over").over(w), F.lag("__end").over(w), F.col("__us")), F.lit(0))).withColumn("__c", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    inside = stored(inside.select(*z, "__us", "__seq", "__end", "__over", "__c"))
+    last = F.max_by(F.struct("__over", "__end"), F.struct("__us", "__seq"))
+    slices = inside.groupBy(*z).agg(F.min("__us").alias("__head"), last.alias("__tail"), F.max("__c").alias("__n"))
+    along = Window.partitionBy(*g).orderBy("__z")
+    opens = F.coalesce(split(F.lag("__tail").over(along)["__over"], F.lag("__tail").over(along)["__end"], F.col("__head")), F.lit(1))
+    base = slices.withColumn("__open", opens).withColumn("__base", F.sum("__open").over(along) + F.coalesce(F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*z, "__base")
+    placed = inside.join(base, z).select(*g, (F.col("__base") + F.col("__c")).alias("__run"), "__us", "__seq")
+    runs = placed.groupBy(*g, "__run").agg((F.max("__us") - F.min("__us") > cap_us).alias("__far"))
+    keys = [*g, "__run"]
+    marked = placed.join(if_small(runs.where("__far")), keys, "left")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema.fields) + ", __part int"
+    cut = marked.where("__far").drop("__far").repartition(*keys).sortWithinPartitions(*keys, "__us", "__seq").mapInPandas(_cut_rows(cap_us, keys), schema)
+    parts = stored(cut.unionByName(marked.where("__far IS NULL").drop("__far").withColumn("__part", F.lit(0))))
+    sizes = parts.groupBy(*keys).agg((F.max("__part") + 1).alias("__m"))
+    first = sizes.withColumn("__first", F.coalesce(F.sum("__m").over(Window.partitionBy(*g).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__m")
+    return parts.join(first, keys).select(F.col("__seq").alias(seq), session_name(F.col("__d"), F.col("__k"), F.col("__first") + F.col("__part")).alias("session_id"))
 
 
 def session_summary(df: DataFrame, session: str, us: str, seq: str) -> DataFrame:
