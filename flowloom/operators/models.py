@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from flowloom.config import CLASSES, SETTINGS, TOKENS
 from flowloom.operators.clean import hash_order, lookup
+from flowloom.operators.nearest import own_class_share
+from flowloom.runtime import stored
 
 INDEX = {c: i for i, c in enumerate(CLASSES)}
 
@@ -143,25 +145,11 @@ def _made(features: list[str], k: int, clean_k: int, seed: int):
     return run
 
 
-def _kept(features: list[str], clean_k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, made = pdf[features].to_numpy(dtype=float), pdf["__made"].to_numpy()
-        at = np.flatnonzero(made)
-        if not len(at):
-            return pd.DataFrame(columns=[*features, "label"])
-        near = np.argsort(((x[at][:, None, :] - x[None, :, :]) ** 2).sum(axis=2), axis=1)[:, : clean_k + 1]
-        labels = pdf["label"].to_numpy()
-        same = (labels[near] == labels[at][:, None]).mean(axis=1)
-        return pdf.iloc[at[same >= 0.5]][[*features, "label"]]
-
-    return run
-
-
 def smote(df: DataFrame, features: list[str], seq: str, label: str = "label", k: int = SETTINGS.smote_k, clean_k: int = SETTINGS.smote_clean_k, block: int = 512, seed: int = SETTINGS.seed) -> DataFrame:
     """df's features and label, and made rows between neighbours of a class that borderline cleaning keeps.
 
-    Neighbours are searched among `block` rows of a class in hash order, cleaning among blocks of all classes, so a
-    class of any size stays in tasks of bounded size; with fewer rows than a block the search is over all of them.
+    Rows are made among `block` rows of a class in hash order, so a class of any size stays in tasks of bounded size;
+    with fewer rows than a block they are all of them. Cleaning looks at the nearest of all rows, real and made.
     """
     targets = smote_targets(df, label, k=k)
     rows = df.select(seq, F.col(label).alias("label"), *[F.col(f).cast("double").alias(f) for f in features]).join(F.broadcast(targets.withColumnRenamed(label, "__l")), F.col("label") == F.col("__l"))  # one row a class
@@ -170,9 +158,9 @@ def smote(df: DataFrame, features: list[str], seq: str, label: str = "label", k:
     schema = ", ".join(f"`{f}` double" for f in features) + ", label string"
     made = placed.groupBy("label", "__block").applyInPandas(_made(features, k, clean_k, seed), schema)
     whole = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).alias("label")).where("label IS NOT NULL")
-    both = whole.withColumn("__made", F.lit(False)).unionByName(made.withColumn("__made", F.lit(True)))
-    n_blocks = F.lit(max(1, -(-df.count() // (4 * block))))
-    kept = both.withColumn("__c", F.pmod(F.xxhash64(*features), n_blocks)).groupBy("__c").applyInPandas(_kept(features, clean_k), schema)
+    fixed = stored(made.withColumn("__id", F.monotonically_increasing_id()))
+    share = own_class_share(fixed, whole.unionByName(fixed.drop("__id")), features, clean_k + 1)
+    kept = fixed.join(share.where("share >= 0.5"), "__id").select(*features, "label")
     return whole.unionByName(kept)
 
 

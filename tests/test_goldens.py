@@ -156,6 +156,32 @@ def test_smote_targets(spark):
     assert {r["label"]: r["target"] for r in models.smote_targets(df).collect()} == {"Bot": 1000, "DDoS": 300}
 
 
+def test_cleaning_sees_the_whole_pool(spark):
+    wide = spark.range(6000).select("id", F.lit("BENIGN").alias("label"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+    rare = spark.range(60).select((F.col("id") + 6000).alias("id"), F.lit("Bot").alias("label"), (F.rand(3) + 100).alias("x"), F.rand(4).alias("y"))
+    got = models.smote(wide.unionByName(rare), ["x", "y"], "id", block=8).groupBy("label").count()
+    assert {r["label"]: r["count"] for r in got.collect()} == {"BENIGN": 6000, "Bot": 360}
+
+
+@pytest.mark.parametrize("cell", [40, 4096])
+def test_own_class_share_against_brute_force(spark, cell):
+    import numpy as np
+
+    from flowloom.operators.nearest import own_class_share
+
+    rnd = random.Random(5)
+    pool = [(rnd.choice("aab"), float(rnd.choice([0, 0, rnd.gauss(0, 1), rnd.randint(0, 3)])), float(rnd.choice([0, rnd.gauss(0, 50)])), float(rnd.randint(0, 2))) for _ in range(900)]
+    asked = [(i, *r) for i, r in enumerate(pool[:250])]
+    df = spark.createDataFrame(pool, "label string, x double, y double, z double").repartition(3)
+    got = own_class_share(spark.createDataFrame(asked, "__id long, label string, x double, y double, z double"), df, ["x", "y", "z"], 4, cell)
+    p, labels = np.array([r[1:] for r in pool]), np.array([r[0] for r in pool])
+    want = {}
+    for i, c, *q in asked:
+        d = ((p - np.array(q)) ** 2).sum(axis=1)
+        want[i] = (labels[np.lexsort((labels != c, d))[:4]] == c).mean()
+    assert {r["__id"]: r["share"] for r in got.collect()} == want and len(set(want.values())) > 2
+
+
 def test_tiers_windows_mcnemar(spark):
     got = [r[0] for r in spark.createDataFrame([(0.3499,), (0.35,), (0.75,)], "r double").select(fusion.tier(F.col("r"))).collect()]
     assert got == ["BENIGN", "SUSPICIOUS", "ATTACK"]
