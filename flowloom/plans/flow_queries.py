@@ -335,6 +335,11 @@ def fp_match_score(spark, d):
     return mining.fp_match(tagged(spark, d), 0.3).select("session", r6("fp_score").alias("fp_score"))
 
 
+def fp_match_score_full(spark, d):
+    """fp_match_score, whose SQL holds a support of 0.3, at the support of the settings."""
+    return mining.fp_match(tagged(spark, d), SETTINGS.itemset_support).select("session", r6("fp_score").alias("fp_score"))
+
+
 def seq_pairs_support(spark, d):
     s = tagged(spark, d).select("session", "token", F.struct("us", "seq_no").alias("at")).groupBy("session", "token").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     both = s.select("session", F.col("token").alias("a"), "first").join(s.select("session", F.col("token").alias("b"), "last"), "session").where("first < last")
@@ -348,14 +353,14 @@ def gap_match(spark, d):
 
 
 def prefixspan_full(spark, d):
-    found = mining.sequence_patterns(tokens.sequences(tagged(spark, d)), 0.2, GAP_S)
+    found = mining.sequence_patterns(tokens.sequences(tagged(spark, d)), SETTINGS.sequence_support, GAP_S)
     return found.select(F.array_join("pattern", ">").alias("pattern"), "freq", r6("support").alias("support"))
 
 
 def sp_t(spark, d):
     steps = tagged(spark, d)
     seqs = tokens.sequences(steps)
-    found = mining.sequence_patterns(seqs, 0.2, GAP_S)
+    found = mining.sequence_patterns(seqs, SETTINGS.sequence_support, GAP_S)
     return mining.sp_t(mining.fp_match(steps), mining.sequence_match(seqs, found, GAP_S)).select("session", r6("sp_t").alias("sp_t"))
 
 
@@ -557,7 +562,7 @@ NAMES = (
     "flow_end_time session_key_symmetric normalize_labels unresolved_label_drop ts_multi_format ts_whole_column ts_impute_clock synthetic_clock clean_inf_nan split_counts label_day_counts zero_shot_classes "
     "limit_per_file stratified_split_counts seeded_rows class_weights sessions_with_cap sessions_gap_only sessions_fin_rst session_size_hist sessions_flow_level session_summary tokens_encode token_counts "
     "token_rule_table session_sequences seq_last_n_indices transitions transition_counts graph_edges_ema graph_edges_incremental graph_full edge_weight_lookup tc_t tc_t_lambda_sweep g_w graph_paths lambda_auc mean_gap pooled_gap "
-    "inv_dt_norm clip_bounds scaler_params variance_filter scaled_features feature_groups mi_binned fp_singletons fp_itemsets fp_itemsets_all fp_match_score seq_pairs_support gap_match prefixspan_full sp_t "
+    "inv_dt_norm clip_bounds scaler_params variance_filter scaled_features feature_groups mi_binned fp_singletons fp_itemsets fp_itemsets_all fp_match_score fp_match_score_full seq_pairs_support gap_match prefixspan_full sp_t "
     "prob_mean_by_session fuse_scores fused_prediction fusion_grid risk_meta_features risk_tiers smote_targets confusion per_class_report macro_f1 macro_f1_present fpr pr_auc mcnemar bootstrap_ci "
     "stream_assign_windows stream_window_counts stream_n_windows early_detection missed_sessions alert_report_text attack_alerts sample_rows top_attributions ablation_compare rf_probs gbt_probs token_model_probs logistic_risk smote_rows tree_explain"
 ).split()

@@ -10,6 +10,7 @@ from flowloom.config import CLASSES
 from flowloom.functions.names import normalize_name
 from flowloom.functions.net import session_key
 from flowloom.operators import clean, features, fusion, graph, metrics, mining, models, sessions, tokens
+from flowloom.plans import flow_queries
 from flowloom.streaming import replay
 from tests.conftest import rows
 
@@ -255,6 +256,25 @@ def test_sequence_patterns_against_brute_force(spark):
     assert best == {s: max([w[2] for w in want if matched(seq, w[0])], default=0.0) for s, seq in times.items()}
 
 
+def tagged_table(spark, folder, sessions):
+    """tagged_flows of sessions, each a list of tokens a second apart."""
+    data = [(i * 1000 + j, f"s{i}", datetime(2017, 7, 3, 9, j // 60, j % 60), t, "BENIGN", "Monday", "train", 80) for i, seq in enumerate(sessions) for j, t in enumerate(seq)]
+    columns = "record_id long, session_id string, timestamp timestamp_ntz, token string, label string, day string, partition string, destination_port int"
+    spark.createDataFrame(data, columns).write.parquet(f"{folder}/tagged_flows.parquet")
+    return str(folder)
+
+
+def test_queries_mine_at_the_support_of_the_settings(spark, tmp_path):
+    d = tagged_table(spark, tmp_path, [["SCAN_ACTIVITY", "DOS_INDICATOR"]] * 2 + [["AUTH_FAIL", "AUTH_SUCCESS"]] + [["DATA_TRANSFER"]] * 57)
+    q = flow_queries.QUERIES
+    assert {r["pattern"]: r["support"] for r in q["prefixspan_full"](spark, d).collect()} == {"SCAN_ACTIVITY>DOS_INDICATOR": pytest.approx(2 / 60, abs=1e-6)}
+    want = {"s0": 2 / 60, "s2": 0.0, "s3": 57 / 60}
+    got = {r["session"]: r["fp_score"] for r in q["fp_match_score_full"](spark, d).collect()}
+    assert {s: got[s] for s in want} == pytest.approx(want, abs=1e-6)
+    got = {r["session"]: r["sp_t"] for r in q["sp_t"](spark, d).collect()}
+    assert {s: got[s] for s in want} == pytest.approx(want | {"s3": 57 / 120}, abs=1e-6)
+
+
 def test_order_statistics(spark):
     import numpy as np
 
