@@ -197,6 +197,11 @@ def seq_last_n_indices(spark, d):
     return tokens.sequences(tokens.last_steps(tagged(spark, d), 8)).select("session", F.array_join(tokens.last_indices(F.transform("seq", lambda x: x["token"]), 8), ",").alias("ids"))
 
 
+def seq_last_n_indices_full(spark, d):
+    """seq_last_n_indices, whose SQL holds 8 steps, at the length of the settings."""
+    return tokens.sequences(tokens.last_steps(tagged(spark, d))).select("session", F.array_join(tokens.last_indices(F.transform("seq", lambda x: x["token"])), ",").alias("ids"))
+
+
 def transitions(spark, d):
     return tokens.transitions(tagged(spark, d)).select("session", "pos", "src", "dst", r6("dt_s").alias("dt_s"))
 
@@ -561,7 +566,7 @@ def tree_explain(spark, d):
 NAMES = (
     "flow_end_time session_key_symmetric normalize_labels unresolved_label_drop ts_multi_format ts_whole_column ts_impute_clock synthetic_clock clean_inf_nan split_counts label_day_counts zero_shot_classes "
     "limit_per_file stratified_split_counts seeded_rows class_weights sessions_with_cap sessions_gap_only sessions_fin_rst session_size_hist sessions_flow_level session_summary tokens_encode token_counts "
-    "token_rule_table session_sequences seq_last_n_indices transitions transition_counts graph_edges_ema graph_edges_incremental graph_full edge_weight_lookup tc_t tc_t_lambda_sweep g_w graph_paths lambda_auc mean_gap pooled_gap "
+    "token_rule_table session_sequences seq_last_n_indices seq_last_n_indices_full transitions transition_counts graph_edges_ema graph_edges_incremental graph_full edge_weight_lookup tc_t tc_t_lambda_sweep g_w graph_paths lambda_auc mean_gap pooled_gap "
     "inv_dt_norm clip_bounds scaler_params variance_filter scaled_features feature_groups mi_binned fp_singletons fp_itemsets fp_itemsets_all fp_match_score fp_match_score_full seq_pairs_support gap_match prefixspan_full sp_t "
     "prob_mean_by_session fuse_scores fused_prediction fusion_grid risk_meta_features risk_tiers smote_targets confusion per_class_report macro_f1 macro_f1_present fpr pr_auc mcnemar bootstrap_ci "
     "stream_assign_windows stream_window_counts stream_n_windows early_detection missed_sessions alert_report_text attack_alerts sample_rows top_attributions ablation_compare rf_probs gbt_probs token_model_probs logistic_risk smote_rows tree_explain"

@@ -275,6 +275,12 @@ def test_queries_mine_at_the_support_of_the_settings(spark, tmp_path):
     assert {s: got[s] for s in want} == pytest.approx(want | {"s3": 57 / 120}, abs=1e-6)
 
 
+def test_index_sequences_have_the_length_of_the_settings(spark, tmp_path):
+    d = tagged_table(spark, tmp_path, [["AUTH_FAIL"] * 5 + ["SCAN_ACTIVITY"] * 127 + ["DATA_TRANSFER"], ["AUTH_FAIL"] + ["DATA_TRANSFER"] * 19])
+    got = {r["session"]: r["ids"].split(",") for r in flow_queries.QUERIES["seq_last_n_indices_full"](spark, d).collect()}
+    assert got == {"s0": ["4"] * 127 + ["5"], "s1": ["2"] + ["5"] * 19}
+
+
 def test_order_statistics(spark):
     import numpy as np
 
