@@ -526,7 +526,7 @@ def rf_probs(spark, d):
     ready, _, params, kept = _trained(spark, d)
     names = [c for c in features.model_feature_sets(kept)["forest"]]
     scaled = features.scale(ready, params, ["seq_no", "label", "partition"])
-    model = models.Forest(names, trees=20, depth=8).fit(models.with_index(scaled.where("partition = 'train'")))
+    model = models.Forest(names).fit(models.with_index(scaled.where("partition = 'train'")))
     return _proba(model.predict(scaled), "p_a", ["seq_no"])
 
 
@@ -534,7 +534,7 @@ def gbt_probs(spark, d):
     ready, _, params, kept = _trained(spark, d)
     names = [c for c in features.model_feature_sets(kept)["boosting"]]
     scaled = features.scale(ready, params, ["seq_no", "label", "partition"])
-    model = models.Boosting(names, rounds=3, depth=4).fit(models.with_index(scaled.where("partition = 'train'")))
+    model = models.Boosting(names).fit(models.with_index(scaled.where("partition = 'train'")))
     return _proba(model.predict(scaled), "p_c", ["seq_no"])
 
 
@@ -559,16 +559,23 @@ def tree_explain(spark, d):
     ready, _, params, kept = _trained(spark, d)
     names = [c for c in features.model_feature_sets(kept)["forest"]]
     scaled = features.scale(ready, params, ["seq_no", "label", "partition"])
-    model = models.Forest(names, trees=10, depth=6).fit(models.with_index(scaled.where("partition = 'train'")))
+    model = models.Forest(names).fit(models.with_index(scaled.where("partition = 'train'")))
     return explain.tree_attributions(model.model, scaled, names, ["seq_no"]).select("seq_no", explain.listed(F.col("top")).alias("top"))
 
 
+def pipeline_run(spark, d):
+    """The whole run with the settings' models and supports over all three partitions."""
+    tables = pipeline.run(flows(spark, d).drop("us")).tables
+    parts = [t.select("session_id", F.lit(p).alias("partition"), "predicted_class", r6("risk").alias("risk"), "tier") for p, t in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 NAMES = (
     "flow_end_time session_key_symmetric normalize_labels unresolved_label_drop ts_multi_format ts_whole_column ts_impute_clock synthetic_clock clean_inf_nan split_counts label_day_counts zero_shot_classes "
     "limit_per_file stratified_split_counts seeded_rows class_weights sessions_with_cap sessions_gap_only sessions_fin_rst session_size_hist sessions_flow_level session_summary tokens_encode token_counts "
     "token_rule_table session_sequences seq_last_n_indices seq_last_n_indices_full transitions transition_counts graph_edges_ema graph_edges_incremental graph_full edge_weight_lookup tc_t tc_t_lambda_sweep g_w graph_paths lambda_auc mean_gap pooled_gap "
     "inv_dt_norm clip_bounds scaler_params variance_filter scaled_features feature_groups mi_binned fp_singletons fp_itemsets fp_itemsets_all fp_match_score fp_match_score_full seq_pairs_support gap_match prefixspan_full sp_t "
     "prob_mean_by_session fuse_scores fused_prediction fusion_grid risk_meta_features risk_tiers smote_targets confusion per_class_report macro_f1 macro_f1_present fpr pr_auc mcnemar bootstrap_ci "
-    "stream_assign_windows stream_window_counts stream_n_windows early_detection missed_sessions alert_report_text attack_alerts sample_rows top_attributions ablation_compare rf_probs gbt_probs token_model_probs logistic_risk smote_rows tree_explain"
+    "stream_assign_windows stream_window_counts stream_n_windows early_detection missed_sessions alert_report_text attack_alerts sample_rows top_attributions ablation_compare rf_probs gbt_probs token_model_probs logistic_risk smote_rows tree_explain pipeline_run"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

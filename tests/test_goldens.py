@@ -12,7 +12,7 @@ from flowloom.functions.net import session_key
 from flowloom.operators import clean, features, fusion, graph, metrics, mining, models, sessions, tokens
 from flowloom.plans import flow_queries
 from flowloom.streaming import replay
-from tests.conftest import rows
+from tests.conftest import DATA, rows
 
 US = 1_000_000
 
@@ -281,6 +281,32 @@ def test_index_sequences_have_the_length_of_the_settings(spark, tmp_path):
     assert got == {"s0": ["4"] * 127 + ["5"], "s1": ["2"] + ["5"] * 19}
 
 
+@pytest.mark.parametrize("query, size", [("rf_probs", (200, 12)), ("tree_explain", (200, 12)), ("gbt_probs", (300, 8))])
+def test_queries_fit_models_of_full_size(spark, monkeypatch, query, size):
+    class Fitted(Exception):
+        pass
+
+    def fit(self, *_):
+        raise Fitted(self.trees if isinstance(self, models.Forest) else self.rounds, self.depth)
+
+    monkeypatch.setattr(models.Forest, "fit", fit)
+    monkeypatch.setattr(models.Boosting, "fit", fit)
+    few = spark.createDataFrame([("BENIGN", "train")], "label string, partition string")
+    monkeypatch.setattr(flow_queries, "_trained", lambda *_: (few, [], [], []))
+    monkeypatch.setattr(features, "scale", lambda df, *_: df)
+    with pytest.raises(Fitted) as e:
+        flow_queries.QUERIES[query](spark, DATA)
+    assert e.value.args == size
+
+
+def test_a_query_runs_the_pipeline_as_set(spark, monkeypatch):
+    asked = []
+    part = spark.createDataFrame([("s", "BENIGN", 0.25, "BENIGN")], "session_id string, predicted_class string, risk double, tier string")
+    made = type("Made", (), {"tables": dict.fromkeys(("train", "val", "test"), part)})
+    monkeypatch.setattr(flow_queries.pipeline, "run", lambda df, *a, **k: asked.append((a, k)) or made)
+    assert flow_queries.QUERIES["pipeline_run"](spark, DATA).count() == 3 and asked == [((), {})]
+
+
 def test_order_statistics(spark):
     import numpy as np
 
