@@ -5,6 +5,7 @@ of all lines costs no more than its columns): number of cells that are whole num
 logarithm of their value (units, hexadecimal and service names read as numbers); a minhash sketch of the cells.
 Files equal in names and types to the one before are dropped; the others stream in order, with one profile per field
 in memory. Fields of equal name match; the rest are matched by an optimal assignment over name and value likeness.
+Where names share nothing, type, sketch and distribution can carry a match alone, given LEAST_CELLS cells on both sides.
 A field keeps its identity along its renames, so each change is reported under the field's first known name.
 
 Defined results: of headers equal after normalization the first counts; cells beyond the header are ignored, missing
@@ -14,7 +15,6 @@ are ignored; the file before is the last one with a smaller number; an empty tab
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -23,10 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.names import name_likeness, normalized_name
+from flowloom.runtime import stored
 
-SKETCH = 8
+SKETCH = 16
 RENAME_AT, NAME_AT, FIELD_AT = 0.5, 0.4, 0.8
-EXACT_SIZE = 7  # assignments up to so many columns are solved by enumeration, larger ones by augmenting paths
+VALUES_AT, LEAST_CELLS = 0.7, 30  # without any likeness of names: the evidence asked for, and the cells below which values can't give it
 # Ports of service names met in place of numbers, and unit factors.
 SERVICES = {"ftp": 21, "ssh": 22, "telnet": 23, "smtp": 25, "domain": 53, "dns": 53, "http": 80, "https": 443, "http-alt": 8080, "mysql": 3306, "rdp": 3389, "ms-wbt-server": 3389, "postgresql": 5432, "ms-sql-s": 1433}
 UNITS = {"b": 1.0, "kb": 1e3, "mb": 1e6, "gb": 1e9}
@@ -52,36 +53,57 @@ def _value(cell: Column) -> Column:
 
 
 def file_profiles(lines: DataFrame, series: str, file_no: str, line_no: str, line: str) -> DataFrame:
-    """One row for each series, file and field: name, type and sketch."""
+    """One row for each series, file and field: name, type, moments and sketch. One scan, one shuffle of partial aggregates."""
     cells = lines.where(F.col(line).isNotNull()).select(F.col(series).alias("series"), F.col(file_no).cast("bigint").alias("file_no"), (F.col(line_no) == 0).alias("head"), F.posexplode(split_line(F.col(line))).alias("pos", "raw"))
     cell = F.trim(F.regexp_replace("raw", r"[\r\n\t ]+", " "))
-    body = cells.where(~F.col("head")).select("series", "file_no", "pos", cell.alias("cell")).withColumn("v", _value(F.col("cell"))).withColumn("full", F.col("cell") != "")
+    body = cells.withColumn("cell", F.when(~F.col("head"), F.nullif(cell, F.lit("")))).withColumn("v", _value(F.col("cell"))).withColumn("hash", F.xxhash64("cell"))
     size = F.log1p(F.abs(F.when(F.abs("v") < F.lit(float("inf")), F.col("v"))))
+    part = F.col("cell").isNotNull()
     profile = body.groupBy("series", "file_no", "pos").agg(
-        F.count_if("full").alias("n"),
-        F.count_if(F.col("full") & F.col("cell").rlike("^-?[0-9]+$")).alias("n_whole"),
-        F.count_if(F.col("full") & F.col("cell").rlike(r"^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$")).alias("n_number"),
+        F.min(F.when(F.col("head"), F.col("raw"))).alias("raw"),
+        F.count("cell").alias("n"),
+        F.count_if(F.col("cell").rlike("^-?[0-9]+$")).alias("n_whole"),
+        F.count_if(F.col("cell").rlike(r"^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$")).alias("n_number"),
         F.count(size).alias("n_value"), F.coalesce(F.avg(size), F.lit(0.0)).alias("mean"), F.coalesce(F.stddev_pop(size), F.lit(0.0)).alias("spread"),
-        *[F.min(F.when(F.col("full"), F.xxhash64("cell", F.lit(i)))).alias(f"h{i}") for i in range(SKETCH)],
+        F.coalesce(F.avg((F.col("v") <= 0).cast("double")), F.lit(0.0)).alias("low"),
+        *[F.min(F.when(part & (F.pmod("hash", F.lit(SKETCH)) == i), F.col("hash"))).alias(f"h{i}") for i in range(SKETCH)],
     )
     kind = F.when(F.col("n") == 0, F.lit("")).when(F.col("n_whole") == F.col("n"), "long").when(F.col("n_number") == F.col("n"), "double").otherwise("string")
-    heads = cells.where("head").groupBy("series", "file_no", "pos").agg(F.first("raw").alias("raw")).withColumn("name", normalized_name(F.col("raw"))).where("name <> ''")
-    heads = heads.groupBy("series", "file_no", "name").agg(F.min("pos").alias("pos"))
-    sketch = F.coalesce(F.array(*[f"h{i}" for i in range(SKETCH)]), F.array())
-    full = heads.join(profile, ["series", "file_no", "pos"], "left")
-    return full.select("series", "file_no", "name", "pos", F.coalesce(kind, F.lit("")).alias("kind"), F.coalesce("n_value", F.lit(0)).alias("n_value"), F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("spread", F.lit(0.0)).alias("spread"), sketch.alias("sketch"))
+    named = profile.withColumn("name", normalized_name(F.col("raw"))).where("raw IS NOT NULL AND name <> ''")
+    whole = named.select("series", "file_no", "name", "pos", kind.alias("kind"), "n", "n_value", "mean", "spread", "low", F.array(*[F.coalesce(f"h{i}", F.lit(0)) for i in range(SKETCH)]).alias("sketch"))
+    once = whole.groupBy("series", "file_no", "name").agg(F.min_by(F.struct("pos", "kind", "n", "n_value", "mean", "spread", "low", "sketch"), "pos").alias("p"))
+    return once.select("series", "file_no", "name", "p.*")
+
+
+def shared_values(a: dict, b: dict) -> float:
+    """Share of the different cells two columns have in common, estimated from their sketches (one minimum a hash class)."""
+    both = [(x, y) for x, y in zip(a["sketch"], b["sketch"], strict=True) if x or y]  # 0: no cell of this class
+    return sum(x == y for x, y in both) / len(both) if both else 0.0
 
 
 def _value_likeness(a: dict, b: dict) -> float:
     if bool(a["n_value"]) != bool(b["n_value"]):
         return 0.0
     if not a["n_value"]:
-        shared = sum(x == y and x is not None for x, y in zip(a["sketch"], b["sketch"], strict=True))
-        return max(0.3, shared / SKETCH)
+        return max(0.3, shared_values(a, b))
     apart = abs(a["mean"] - b["mean"]) / (0.5 + (a["spread"] + b["spread"]) / 2)
     return math.exp(-apart)
 
 
+def value_evidence(a: dict, b: dict) -> float:
+    """How surely two columns hold the same field, judged by type, sketch and distribution alone; 0 to 1."""
+    if not a["n"] or not b["n"] or a["kind"] != b["kind"] or bool(a["n_value"]) != bool(b["n_value"]):
+        return 0.0
+    shared = shared_values(a, b)
+    if not a["n_value"]:
+        return shared
+    spread = 0.05 + (a["spread"] + b["spread"]) / 2
+    few = math.sqrt(1 / a["n_value"] + 1 / b["n_value"])
+    apart = max(0.0, abs(a["mean"] - b["mean"]) / spread - few)
+    wider = max(0.0, abs(math.log((0.05 + a["spread"]) / (0.05 + b["spread"]))) - few)
+    return max(math.exp(-apart - wider - 2 * max(0.0, abs(a["low"] - b["low"]) - few / 2)), shared)
+
+
 def assign(gain: list[list[float]], least: float) -> list[tuple[int, int]]:
     """The pairs (row, column) of greatest total gain, each row and column once, pairs under `least` left out."""
     n, m = len(gain), len(gain[0]) if gain else 0
@@ -90,9 +112,6 @@ def assign(gain: list[list[float]], least: float) -> list[tuple[int, int]]:
     if n > m:
         return [(i, j) for j, i in assign([list(c) for c in zip(*gain, strict=True)], least)]
     worth = [[g if g >= least else 0.0 for g in row] for row in gain]
-    if m <= EXACT_SIZE:
-        best = max(itertools.permutations(range(m), n), key=lambda p: sum(worth[i][j] for i, j in enumerate(p)))
-        return [(i, j) for i, j in enumerate(best) if worth[i][j] > 0]
     u, v, match, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
     for i in range(1, n + 1):  # shortest augmenting paths
         match[0], j0, low, seen = i, 0, [math.inf] * (m + 1), [False] * (m + 1)
@@ -134,6 +153,13 @@ class _Series:
             found[odd[i]] = free[keep[j]]
         return found
 
+    def _by_values(self, a: dict, b: dict, name: str) -> float:
+        """Gain of a rename that only values speak for: none if there are few cells or the new name is that of another field."""
+        if min(a["n"], b["n"]) < LEAST_CELLS or any(name_likeness(name, f, self.fields) >= FIELD_AT for f in self.fields if f != a["field"]):
+            return 0.0
+        evidence = value_evidence(a, b)
+        return RENAME_AT + (evidence - VALUES_AT) if evidence >= VALUES_AT else 0.0
+
     def next(self, file: dict[str, dict]) -> list[tuple[str, str]]:
         if self.live is None:
             ids = self._field(list(file), set())
@@ -147,7 +173,7 @@ class _Series:
             for b in new:
                 likes = max(name_likeness(a, b, self.fields), name_likeness(old[a]["field"], b, self.fields))
                 s = 0.75 * likes + 0.25 * _value_likeness(old[a], file[b])
-                row.append(s if likes >= NAME_AT else 0.0)
+                row.append(s if likes >= NAME_AT else self._by_values(old[a], file[b], b))
             gain.append(row)
         renamed = {new[j]: gone[i] for i, j in assign(gain, RENAME_AT)}
         came = [n for n in new if n not in renamed]
@@ -187,7 +213,7 @@ def _walk(fields: tuple[str, ...], names: bool):
                     if r["series"] != at[0]:
                         state = _Series(fields)
                     at, file = (r["series"], r["file_no"]), {}
-                file[r["name"]] = {k: r[k] for k in ("kind", "n_value", "mean", "spread", "sketch", "pos")}
+                file[r["name"]] = {k: r[k] for k in ("kind", "n", "n_value", "mean", "spread", "low", "sketch", "pos")}
             yield pd.DataFrame(out, columns=columns)
         if file:
             yield pd.DataFrame(close(), columns=columns)
@@ -201,8 +227,9 @@ def _ordered(profiles: DataFrame) -> DataFrame:
 
 def schema_changes(lines: DataFrame, fields: list[str], series: str = "series", file_no: str = "file_no", line_no: str = "line_no", line: str = "raw_line") -> DataFrame:
     """(series, file_no, field_name, change_kind): one row for each change from the file before."""
-    profiles = file_profiles(lines, series, file_no, line_no, line)
-    sign = profiles.groupBy("series", "file_no").agg(F.hash(F.sort_array(F.collect_list(F.struct("name", "kind")))).alias("sign"))
+    profiles = stored(file_profiles(lines, series, file_no, line_no, line))
+    marks = F.sort_array(F.collect_list(F.struct("name", "kind")))  # the columns of one file
+    sign = profiles.groupBy("series", "file_no").agg(F.struct(F.xxhash64(marks), F.xxhash64(F.lit(7), marks)).alias("sign"))
     along = Window.partitionBy("series").orderBy("file_no")
     same_before, same_after = F.col("sign") == F.lag("sign").over(along), F.col("sign") == F.lead("sign").over(along)
     needed = sign.withColumn("__b", F.coalesce(same_before, F.lit(False))).withColumn("__a", F.coalesce(same_after, F.lit(False))).where("NOT (__b AND __a)").select("series", "file_no")

@@ -7,14 +7,11 @@ sessions; then rows are numbered one by one, also within slices.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.config import SETTINGS
-from flowloom.operators.sweep import SLICE_S, US, sweep_sessions
+from flowloom.operators.sweep import SLICE_S, US, part_of_run, sweep_sessions
 from flowloom.runtime import if_small, stored
 
 
@@ -34,27 +31,11 @@ def tag_sessions(df: DataFrame, us: str, duration: str, seq: str, gap_s: float =
     return rows.join(spans, on).select(*[rows[c] for c in df.columns if c != "session_id"], session_name(day, key, "__n").alias("session_id"))
 
 
-def _cut_rows(cap_us: int, keys: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, start, part = None, 0, 0
-        for pdf in batches:
-            parts = []
-            for *k, t in pdf[[*keys, "__us"]].itertuples(index=False, name=None):
-                if k != at:
-                    at, start, part = k, t, 0
-                elif t - start > cap_us:
-                    start, part = t, part + 1
-                parts.append(part)
-            yield pdf.assign(__part=parts)
-
-    return run
-
-
 def tag_sessions_terminated(df: DataFrame, us: str, duration: str, seq: str, gap_s: float = SETTINGS.session_gap_s, cap_s: float = SETTINGS.session_cap_s, day: str = "day", key: str = "session_key") -> DataFrame:
     """(seq, session_id): a row after one with FIN or RST also opens a session.
 
     Breaks are found within time slices; between slices they come from one row a slice, whose running sums number the
-    runs. Runs longer than the cap stream through one pass each.
+    runs. Runs longer than the cap are cut as in the sweep.
     """
     flag = lambda c: F.coalesce(F.col(c) > 0, F.lit(False)) if c in df.columns else F.lit(False)
     gap_us, cap_us, g, z = int(gap_s * US), int(cap_s * US), ["__d", "__k"], ["__d", "__k", "__z"]
@@ -75,8 +56,8 @@ def tag_sessions_terminated(df: DataFrame, us: str, duration: str, seq: str, gap
     runs = placed.groupBy(*g, "__run").agg((F.max("__us") - F.min("__us") > cap_us).alias("__far"))
     keys = [*g, "__run"]
     marked = placed.join(if_small(runs.where("__far")), keys, "left")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema.fields) + ", __part int"
-    cut = marked.where("__far").drop("__far").repartition(*keys).sortWithinPartitions(*keys, "__us", "__seq").mapInPandas(_cut_rows(cap_us, keys), schema)
+    far = stored(marked.where("__far").drop("__far").withColumnRenamed("__us", "__t"))
+    cut = part_of_run(far, keys, cap_us).withColumnRenamed("__t", "__us")
     parts = stored(cut.unionByName(marked.where("__far IS NULL").drop("__far").withColumn("__part", F.lit(0))))
     sizes = parts.groupBy(*keys).agg((F.max("__part") + 1).alias("__m"))
     first = sizes.withColumn("__first", F.coalesce(F.sum("__m").over(Window.partitionBy(*g).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__m")

@@ -10,8 +10,9 @@ first start. Both limits are strict.
    earlier; where the running sum falls to zero a fragment closes. A slice has at most slice/gap + 1 fragments, so
    what follows is bounded by time, not by rows.
 3. A running sum over the fragments of a group joins those that touch across slices into runs.
-4. Only runs longer than cap need the greedy cut: their points stream in time order through one pass that keeps one
-   session in memory.
+4. Only runs longer than cap need the greedy cut (see cut_points): from the least and greatest time of every tenth of
+   a second of a run come short windows in which its sessions must begin; only points within those are walked one
+   after the other, and the cuts found are given back to all points. What one task gets is bounded by time, not rows.
 
 Defined results: rows with null group or time are left out; null and negative durations count as 0; an empty table
 gives no session; ties in time are ordered by the load order, so the last one's end counts.
@@ -20,7 +21,9 @@ gives no session; ties in time are ordered by the load order, so the last one's
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +32,8 @@ from flowloom.runtime import row_hash, stored
 
 US = 1_000_000
 SLICE_S = 900
+BUCKET_US = 100_000
+END = (1 << 63) - 1
 
 
 def _points(df: DataFrame, group: list[str], time_us: str, duration_us: str, order: str, ignore: list[str], slice_us: int, distinct: bool = True) -> DataFrame:
@@ -58,27 +63,90 @@ def _swept(points: DataFrame, g: list[str], gap_us: int) -> DataFrame:
     return open_now.withColumn("__frag", F.sum(F.when(F.col("__open") == 0, 1).otherwise(0)).over(sweep)).where("__e.step = 1").select(*part, "__n", "__end", F.col("__start").alias("__t"), "__frag")
 
 
-def _cut_long(cap_us: int, names: list[str]):
-    """Streams points of long runs in order (group, run, time) and emits a session whenever cap is passed."""
+def _by_run(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Pieces of runs in order, from rows sorted by run."""
+    for pdf in batches:
+        if len(pdf):
+            new = np.zeros(len(pdf), dtype=bool)
+            for c in keys:
+                v = pdf[c].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            at = [0, *np.flatnonzero(new), len(pdf)]
+            for i, j in zip(at, at[1:], strict=False):
+                yield tuple(pdf[c].iloc[i] for c in keys), pdf.iloc[i:j]
+
+
+def _windows(cap_us: int, keys: list[str]):
+    """For each run, from its buckets (first and last time) in order: bounds of where its second, third, ... session begins."""
+
+    def close(key: tuple, low: list[int], high: list[int]) -> pd.DataFrame:
+        ends = [*high, *[END] * (len(low) - len(high))]
+        return pd.DataFrame([(*key, a, b) for a, b in zip(low[1:], ends[1:], strict=True)], columns=[*keys, "__lo", "__hi"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, low, high = None, [], []
+        for key, part in _by_run(batches, keys):
+            first, last = part["__a"].to_numpy(), part["__b"].to_numpy()
+            if key != at:
+                if at is not None:
+                    yield close(at, low, high)
+                at, low, high = key, [int(first[0])], [int(first[0])]
+            for chain, inside in ((low, lambda x, i: x + 1), (high, lambda x, i: int(last[i]))):  # noqa: B023 - used at once
+                while (i := int(np.searchsorted(last, chain[-1] + cap_us, side="right"))) < len(last):
+                    x = chain[-1] + cap_us
+                    chain.append(int(first[i]) if first[i] > x else inside(x, i))
+        if at is not None:
+            yield close(at, low, high)
+
+    return run
+
+
+def _walk(cap_us: int, keys: list[str]):
+    """For each run, from its first point and the points within its windows in order: the starts of its sessions after the first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = start = last = None
-        n = 0
-        for pdf in batches:
-            out = []
-            for *k, t, m in zip(*[pdf[c].to_numpy() for c in names], pdf["__t"].to_numpy(), pdf["__n"].to_numpy(), strict=True):
-                if k != key or t - start > cap_us:
-                    if key is not None:
-                        out.append((*key[:-1], start, last, n))
-                    key, start, n = k, t, 0
-                last, n = t, n + m
-            yield pd.DataFrame(out, columns=[*names[:-1], "start_us", "end_us", "n_rows"])
-        if key is not None:
-            yield pd.DataFrame([(*key[:-1], start, last, n)], columns=[*names[:-1], "start_us", "end_us", "n_rows"])
+        at, starts = None, []
+        close = lambda: pd.DataFrame([(*at, np.array(starts[1:], dtype=np.int64))], columns=[*keys, "__cuts"])
+        for key, part in _by_run(batches, keys):
+            t = part["__t"].to_numpy()
+            if key != at:
+                if at is not None:
+                    yield close()
+                at, starts = key, [int(t[0])]
+            while (i := int(np.searchsorted(t, starts[-1] + cap_us, side="right"))) < len(t):
+                starts.append(int(t[i]))
+        if at is not None:
+            yield close()
 
     return run
 
 
+def cut_points(points: DataFrame, keys: list[str], cap_us: int, bucket_us: int = BUCKET_US) -> DataFrame:
+    """(keys, __cuts): the starts of a run's sessions after its first, by the rule that a session ends before the first
+    point more than cap after its start; points (keys, __t), read more than once.
+
+    The next start depends on the last one, but never falls when that one rises. So bounds of it follow from bounds of
+    the last start and the buckets alone; they grow by a bucket a session at most.
+    """
+    types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    head = ", ".join(f"`{c}` {types[c]}" for c in keys)
+    buckets = points.groupBy(*keys, F.floor(F.col("__t") / F.lit(bucket_us)).alias("__bucket")).agg(F.min("__t").alias("__a"), F.max("__t").alias("__b"))
+    windows = buckets.repartition(*keys).sortWithinPartitions(*keys, "__a").mapInPandas(_windows(cap_us, keys), f"{head}, __lo bigint, __hi bigint")
+    size, last = F.lit(SLICE_S * US), points.groupBy(*keys).agg(F.max("__t").alias("__last"), F.min("__t").alias("__t"))
+    spread = windows.join(last.drop("__t"), keys).withColumn("__z", F.explode(F.sequence(F.floor(F.col("__lo") / size), F.floor(F.least("__hi", "__last") / size))))
+    spread = spread.select(*[F.col(c).alias(f"__w{i}") for i, c in enumerate(keys)], "__z", "__lo", "__hi")
+    same = [F.col(c) == F.col(f"__w{i}") for i, c in enumerate(keys)]
+    on = reduce(lambda a, b: a & b, same) & (F.floor(F.col("__t") / size) == F.col("__z")) & F.col("__t").between(F.col("__lo"), F.col("__hi"))
+    near = points.join(spread, on, "left_semi").select(*keys, "__t").unionByName(last.select(*keys, "__t")).distinct()
+    return near.repartition(*keys).sortWithinPartitions(*keys, "__t").mapInPandas(_walk(cap_us, keys), f"{head}, __cuts array<bigint>")
+
+
+def part_of_run(points: DataFrame, keys: list[str], cap_us: int) -> DataFrame:
+    """points with __part: the number of the session within its run; points are read more than once."""
+    cuts = cut_points(points.select(*keys, "__t"), keys, cap_us)  # one row a run, with a time a cap
+    return points.join(cuts, keys).withColumn("__part", F.size(F.filter("__cuts", lambda c: c <= F.col("__t")))).drop("__cuts")
+
+
 def sweep_sessions(df: DataFrame, group: list[str], time_us: str, duration_us: str, order: str, gap_s: float, cap_s: float, ignore: tuple[str, ...] = (), slice_s: int = SLICE_S, distinct: bool = True) -> DataFrame:
     """(group..., start_us, end_us, n_rows): one row per session; columns in `ignore` don't make a row different, without `distinct` each row counts."""
     gap_us, cap_us = int(gap_s * US), int(cap_s * US)
@@ -91,7 +159,6 @@ def sweep_sessions(df: DataFrame, group: list[str], time_us: str, duration_us: s
     whole = Window.partitionBy(*g, "__run")
     runs = runs.withColumn("__long", F.max("__b").over(whole) - F.min("__a").over(whole) > cap_us)
     short = runs.where(~F.col("__long")).groupBy(*g, "__run").agg(F.min("__a").alias("start_us"), F.max("__b").alias("end_us"), F.sum("__n").alias("n_rows")).drop("__run")
-    ordered = frags.join(runs.where("__long").select(*g, "__slice", "__frag", "__run"), [*g, "__slice", "__frag"]).select(*g, "__run", "__t", "__n").repartition(*g, "__run").sortWithinPartitions(*g, "__run", "__t")
-    schema = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(g, group, strict=True)) + ", start_us bigint, end_us bigint, n_rows bigint"
-    cut = ordered.mapInPandas(_cut_long(cap_us, [*g, "__run"]), schema)
+    far = stored(frags.join(runs.where("__long").select(*g, "__slice", "__frag", "__run"), [*g, "__slice", "__frag"]).select(*g, "__run", "__t", "__n"))
+    cut = part_of_run(far, [*g, "__run"], cap_us).groupBy(*g, "__run", "__part").agg(F.min("__t").alias("start_us"), F.max("__t").alias("end_us"), F.sum("__n").alias("n_rows")).drop("__run", "__part")
     return short.unionByName(cut).select(*[F.col(a).alias(b) for a, b in zip(g, group, strict=True)], "start_us", "end_us", "n_rows")

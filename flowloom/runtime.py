@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,33 +13,45 @@ BROADCAST_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder all executors share: spark.checkpoint.dir where the session has it, else (tests) a temporary one."""
+    """A folder all executors share: spark.checkpoint.dir of the session.
+
+    Only a session whose executors are this machine's own threads may do without; it gets a temporary folder. On a
+    cluster each executor would write to a disk of its own and a reader see a part of it, so the lack of one raises.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='flowloom-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(at)
     return at
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: written to the shared folder and read again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _own_folder(spark: SparkSession):
+    """This application's part of the shared folder, as a Hadoop path with its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/flowloom/{spark.sparkContext.applicationId}")
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it: survives lost executors and keeps columnar statistics."""
-    path = f"{shared_dir(df.sparkSession)}/flowloom/{uuid.uuid4().hex}"
+    """Writes a table to the shared folder and reads it: survives lost executors and keeps columnar statistics.
+
+    What an application has stored is removed when it ends, or by clear_stored().
+    """
+    spark = df.sparkSession
+    folder, files = _own_folder(spark)
+    if not files.exists(folder):
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    path = f"{folder.toString()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_stored(spark: SparkSession) -> None:
-    """Removes what stored() wrote in this session's shared folder, once nothing reads it any more."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/flowloom")
-    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+    """Removes what stored() wrote for this application, once nothing reads it any more."""
+    folder, files = _own_folder(spark)
+    files.delete(folder, True)
 
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -51,6 +51,9 @@ def test_session_key_is_symmetric(spark):
     assert got[0] == got[1] == "167772161_167772162_6_22_5000" and got[2]
     with pytest.raises(KeyError):
         session_key(["source_ip"])
+    six = spark.createDataFrame([("2001:DB8::1", "::ffff:10.0.0.1", 1, 2, 6), ("::ffff:10.0.0.1", "2001:db8:0:0:0:0:0:1", 2, 1, 6), ("1::2::3", ":::", 1, 2, 6)], df.schema)
+    got = [r[0] for r in six.select(session_key(six.columns)).collect()]
+    assert got[0] == got[1] == "00000000000000000000ffff0a000001_20010db8000000000000000000000001_6_1_2" and got[2].count("_") == 4
 
 
 def test_sessions(spark):
@@ -133,6 +136,21 @@ def test_moving_average(spark):
     assert w["a", "x"] == pytest.approx(0.181) and w["a", "y"] == pytest.approx(0.09)
 
 
+def test_moving_average_has_no_end(spark):
+    """At a slow decay the 400th last transition still counts, and an edge last seen long ago keeps its row."""
+    rnd = random.Random(3)
+    sess = {f"s{i:03d}": [rnd.choice("abc") for _ in range(rnd.choice([2, 40]))] for i in range(60)}
+    sess = {"s": ["a", "z"]} | sess
+    data = [(s, i * 10**9 + j, j, t) for i, (s, ts) in enumerate(sess.items()) for j, t in enumerate(ts)]
+    got = {(r["src"], r["dst"]): r["weight"] for r in graph.graph_edges(spark.createDataFrame(data, "session string, us long, seq_no long, token string"), 0.99).collect()}
+    want = {}
+    for ts in sess.values():
+        for a, b in zip(ts, ts[1:], strict=False):
+            want = {k: v * 0.99 if k[0] == a else v for k, v in want.items()}
+            want[a, b] = want.get((a, b), 0) + 0.01
+    assert got == pytest.approx(want) and got["a", "z"] > 0
+
+
 def test_edge_weights_and_scores(spark):
     e = spark.createDataFrame([("a", "b", 0.2), ("b", "c", 0.4)], "src string, dst string, weight double")
     p = spark.createDataFrame([("z", "a"), ("a", "z"), ("a", "b")], "src string, dst string")

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 from flowloom.functions.names import name_likeness
+from flowloom.functions import zones
 from flowloom.operators import drift, sweep, timestamps
 from flowloom.sources.schema import FEATURES
 from tests.conftest import rows
@@ -88,7 +89,7 @@ def test_habits(spark):
 def test_zone_tables_against_zoneinfo(zone):
     rnd = np.random.default_rng(1)
     local = rnd.integers(946684800, 1900000000, 3000) * US
-    got, ok = timestamps.local_to_utc(local, zone)
+    got, ok = zones.local_to_utc(local, zone)
     tz = ZoneInfo(zone)
     for x, g, o in zip(local.tolist(), got.tolist(), ok.tolist(), strict=True):
         naive = datetime(1970, 1, 1) + timedelta(microseconds=x)
@@ -150,6 +151,61 @@ def test_name_likeness():
         assert name_likeness(a, b, fields) < 0.4
 
 
-def test_pandas_is_not_needed_for_shapes():
-    assert timestamps.parser_of("99999999a999999a") == "packed" and timestamps.parser_of("9999999999.999") == "epoch" and timestamps.parser_of("a/a") is None
+def test_layouts_are_decided_by_masks():
+    kinds = lambda m: [x.kind for x in timestamps.layouts(m)]
+    assert kinds("99999999a999999a") == ["packed"] and kinds("9999999999.999") == ["epoch"] and kinds("a/a") == [] and kinds("99999999999999") == ["packed"]
+    assert kinds("9/9/9999 9:99 aa") == ["slashed", "half_day"]
     assert timestamps._convert(pd.Series([], dtype=object), pd.Series([], dtype=object), pd.Series([], dtype=object), pd.Series([], dtype=bool)).empty
+
+
+def test_month_names():
+    names = "January FÉVRIER mars Abr mai juin juillet août Sept. Okt noviembre déc"
+    assert [timestamps.month_of(n.strip(".")) for n in names.split()] == list(range(1, 13))
+    assert timestamps.month_of("jui") == timestamps.month_of("ma") == timestamps.month_of("hello") == 0
+
+
+def test_far_and_old_times_and_moved_abbreviations(spark):
+    assert utc(spark, ["2045-07-01 12:00:00", "2039-12-01 12:00:00", "1965-07-01 12:00:00", "9000-07-01 12:00:00"], "Europe/Paris") == ["2045-07-01T10:00:00", "2039-12-01T11:00:00", "1965-07-01T11:00:00", "9000-07-01T10:00:00"]
+    assert utc(spark, ["2012-06-01 12:00:00 MSK", "2020-06-01 12:00:00 MSK"], "Europe/Moscow") == ["2012-06-01T08:00:00", "2020-06-01T09:00:00"]
+    assert utc(spark, ["1 juin 2024 12:00:00", "1 juillet 2024 12:00:00"], "Europe/Paris") == ["2024-06-01T10:00:00", "2024-07-01T10:00:00"]
+    assert zones.version().split()[0] in ("tzdata", "system") and zones.zone("../etc/passwd") is None
+
+
+def test_cuts_of_long_runs_against_the_loop(spark):
+    rnd = random.Random(21)
+    data, want = [], []
+    for g in range(6):
+        t, pts = rnd.randint(0, 10**9), []
+        for _ in range(rnd.choice([3, 900, 1500])):
+            t += rnd.choice([0, 1, 7, 50_000, 400_000, 3 * US, 11 * US])
+            pts.append(t)
+        starts = [pts[0]]
+        for x in pts:
+            if x - starts[-1] > 60 * US:
+                starts.append(x)
+        want.append((f"g{g}", tuple(starts[1:])))
+        data += [(f"g{g}", x) for x in pts]
+    rnd.shuffle(data)
+    points = spark.createDataFrame(data, "k string, __t long").repartition(3)
+    for bucket in (1, 100_000, 7 * US):
+        got = {(r["k"], tuple(r["__cuts"])) for r in sweep.cut_points(points, ["k"], 60 * US, bucket).collect()}
+        assert got == set(want)
+
+
+def test_values_alone_can_carry_a_rename(spark):
+    """Renames to names that share nothing: at least 0.9 are found, and another field of other values isn't taken for one."""
+    rnd = random.Random(8)
+    make = {"destination_port": lambda: rnd.choice([80, 443, 22, 53, rnd.randint(1024, 65535)]), "flow_bytes_s": lambda: round(rnd.lognormvariate(9, 2), 3), "label": lambda: rnd.choice(["BENIGN", "Bot", "DDoS"]), "fwd_packet_length_max": lambda: rnd.randint(0, 1500), "flow_duration": lambda: rnd.randint(10**3, 10**8)}
+    found = wrong = 0
+    fields = list(make)
+    data, i = [], 0
+    for n, f in enumerate(fields * 8):
+        other = fields[(fields.index(f) + 2) % len(fields)]
+        for file, (name, value) in enumerate([(f, make[f]), (f"zq{n}", make[f]), (f"xj{n}", make[other])], 1):
+            data.append((i, f"s{n}", file, 0, name))
+            data += [(i := i + 1, f"s{n}", file, j, str(value())) for j in range(1, 61)]
+    df = spark.createDataFrame(data, "line_id long, series string, file_no int, line_no int, raw_line string")
+    got = rows(drift.schema_changes(df, fields).select("series", "file_no", "change_kind"))
+    found = sum(x[1:] == (2, "renamed") for x in got)
+    wrong = sum(x[1:] == (3, "renamed") for x in got)
+    assert found >= 0.9 * len(fields) * 8 and wrong <= 0.05 * len(fields) * 8
