@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 20_000
@@ -48,6 +48,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_with(df: DataFrame, **values: Column) -> tuple[DataFrame, dict]:
+    """stored(), and aggregates of the rows taken while they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[c.alias(n) for n, c in values.items()]))
+    return out, seen.get
+
+
 def clear_stored(spark: SparkSession) -> None:
     """Removes what stored() wrote for this application, once nothing reads it any more."""
     folder, files = _own_folder(spark)
