@@ -2,16 +2,18 @@
 
 Texts are folded first: words broken at line ends are joined, spaced-out, dotted and masked words recognised, signs
 inside words dropped, and letters that scanners confuse mapped to one, so that misread words give the same features.
-Features are words and pairs of neighbours.
+Letters of other scripts that only look like Latin ones are read as those within Latin words; words of other scripts
+are spelt out in Latin letters, so they are features like any. Features are words and pairs of neighbours.
 
 Chain: one linear (logistic) model per category in a fixed order, and a last one for any of them; each later model
 also gets the probabilities of the earlier ones, out of fold while training. A document's score is the last link's
 probability; the threshold is the one with the best F1 on out-of-fold scores. Known coarse words pull their weight towards a positive prior, so
-that few labels do not leave the model blind; labels outweigh it.
+that few labels do not leave the model blind; labels outweigh it. A document's fold is a hash of its folded text, so
+copies of a page are never on both sides, and nothing depends on the order or number of partitions.
 
 The model is fitted on at most `most_labelled` labelled documents (those of least hash of doc_id); their verdicts are
-averaged over reviewers, and features kept are at most `most_features`. Scoring reads whole texts in one pass without a
-shuffle. Defined results: null, empty and blank texts score 0 and are never flagged; repeated rows get equal scores;
+averaged over reviewers. Features are chosen among all of theirs by how surely they tell. Scoring reads whole texts in
+one pass without a shuffle. Defined results: null, empty and blank texts score 0 and are never flagged; repeated rows get equal scores;
 a document with as many verdicts for as against is left out of training; without labels the prior alone decides;
 null sources are reported as null.
 """
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,8 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowloom.runtime import stored
+
 CATEGORIES = ("abusive", "hateful", "sexual")
-MOST_LABELLED, MOST_FEATURES = 20_000, 300_000
+MOST_LABELLED = 20_000
 CONTRADICTED = 0.8
 OFTEN = 0.006
 FOLDS, STEPS, RIDGE, PRIOR, BIAS = 5, 150, 0.6, 2.5, -3.5
@@ -53,18 +58,53 @@ _SIGNS = bytes(c for c in (*range(0x20), *range(0x7F, 0xC0)) if c not in b" \t\n
 _LOOKS = bytes.maketrans("eubfljqéèêáàâóòôöüúùûäíîïñßç".encode("latin-1"), b"cnhtiigcccaaaoooonnnnaiiinhc")
 
 
+# Letters of other scripts that look like Latin ones, and Latin letters that don't decompose.
+ALIKE = dict(zip("авекмнорстухіјѕԁԛԝһαικνορτυχɑɡ", "abekmhopctyxijsdqwhaikvoptuxag", strict=True))
+PLAIN = {"ł": "l", "đ": "d", "ħ": "h", "ı": "i", "œ": "oe", "ŧ": "t", "ŋ": "n", "ə": "e"}
+_FAR = re.compile(r"[^\W\d_]*[^\x00-\xff\W\d_][^\W\d_]*")
+_SPELT = "aoxyzpsk"  # letters that folding leaves alone
+
+
+def _near(word: str) -> str:
+    """A word with letters beyond Western European ones in such letters: without their marks, by their looks, or spelt out."""
+    out = []
+    latin = any(c <= "\xff" or unicodedata.normalize("NFKD", c)[0] <= "z" for c in word)
+    for c in word:
+        base = unicodedata.normalize("NFKD", c)[0]
+        if c <= "\xff":
+            out.append(c)
+        elif c in PLAIN or base <= "z":
+            out.append(PLAIN.get(c, base))
+        elif latin and c in ALIKE:
+            out.append(ALIKE[c])
+        else:
+            n = ord(c)
+            while n:
+                out.append(_SPELT[n & 7])
+                n >>= 3
+    return "".join(out)
+
+
+def _letters(text: str) -> bytes:
+    """The text in one byte a letter; signs beyond are dropped."""
+    try:
+        return text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _FAR.sub(lambda m: _near(m[0]), text).encode("latin-1", "ignore")
+
+
 def _look(b: bytes) -> bytes:
     return b.replace(b"rn", b"m").replace(b"vv", b"w").replace(b"cl", b"d").translate(_LOOKS)
 
 
 def look(word: str) -> str:
     """A word with letters that scanners confuse mapped to one."""
-    return _look(word.encode("latin-1", "ignore")).decode("latin-1")
+    return _look(_letters(word)).decode("latin-1")
 
 
 def words(text: str) -> list[str]:
-    """Folded words in order; letters beyond Western European ones are dropped like other signs inside words."""
-    b = unicodedata.normalize("NFKC", _BREAK.sub("", text)).lower().replace("—", "*").encode("latin-1", "ignore").translate(None, _SIGNS)
+    """Folded words in order."""
+    b = _letters(unicodedata.normalize("NFKC", _BREAK.sub("", text)).lower().replace("—", "*")).translate(None, _SIGNS)
     b = _DIGIT.sub(lambda m: m[0].translate(_DIGITS), b)
     b = _SPACED.sub(lambda m: m[0].replace(b" ", b""), b)
     b = _MASK.sub(rb"\1qq\2", _DOTTED.sub(b"", b))
@@ -119,12 +159,11 @@ def _fit(rows: np.ndarray, cols: np.ndarray, n: int, m: int, extra: np.ndarray,
     return w, e, float(b)
 
 
-def _chain(found: list[np.ndarray], y: np.ndarray, weight: np.ndarray, index: dict[str, int], prior: np.ndarray) -> tuple[Chain, np.ndarray]:
-    """The chain and the out-of-fold probabilities of its categories."""
+def _chain(found: list[np.ndarray], y: np.ndarray, weight: np.ndarray, index: dict[str, int], prior: np.ndarray, fold: np.ndarray) -> tuple[Chain, np.ndarray]:
+    """The chain and the out-of-fold probabilities of its categories; fold: each document's, equal for equal texts."""
     n, m, k_all = len(found), len(index), y.shape[1]
     sizes = np.array([len(f) for f in found], dtype=np.int64)
     rows, cols = np.repeat(np.arange(n), sizes), np.concatenate(found).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
-    fold = np.arange(n) % FOLDS
     chain = Chain(index, np.zeros((k_all, m)), np.zeros((k_all, k_all)), np.full(k_all, BIAS))
     out = np.zeros((n, k_all))
     for k in range(k_all):
@@ -136,68 +175,72 @@ def _chain(found: list[np.ndarray], y: np.ndarray, weight: np.ndarray, index: di
     return chain, out
 
 
-def train(found: list[np.ndarray], y: np.ndarray, weight: np.ndarray, index: dict[str, int], prior: np.ndarray) -> tuple[Chain, np.ndarray]:
+def train(found: list[np.ndarray], y: np.ndarray, weight: np.ndarray, index: dict[str, int], prior: np.ndarray, fold: np.ndarray) -> tuple[Chain, np.ndarray]:
     """The chain, and its out-of-fold score of each document; y (documents, categories and any).
 
     Verdicts that the out-of-fold score contradicts outright count little in a second fit.
     """
-    chain, out = _chain(found, y, weight, index, prior)
+    chain, out = _chain(found, y, weight, index, prior, fold)
     truth = y.max(axis=1) > 0 if len(y) else np.zeros(0, dtype=bool)
     if truth.sum() < 20:
         return chain, out[:, -1]
     first = out[:, -1]
     weight = weight * np.where(np.abs(first - truth) > CONTRADICTED, 0.05, 1.0)
-    chain, out = _chain(found, y, weight, index, prior)
+    chain, out = _chain(found, y, weight, index, prior, fold)
     any_out = out[:, -1]
-    order = np.argsort(-any_out)
+    order = np.argsort(-any_out, kind="stable")
     hits, shown = np.cumsum((truth * weight)[order]), np.cumsum(weight[order])
     best = int(np.argmax(2 * hits / (shown + (truth * weight).sum())))
     chain.threshold = float(np.clip((any_out[order[best]] + any_out[order[min(best + 1, len(order) - 1)]]) / 2, 0.35, 0.8))
     return chain, any_out
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_features: int = MOST_FEATURES) -> Chain:
+def fit_chain(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Chain:
     """Fits the chain on labelled documents; labels (doc_id, verdict, category)."""
+    spark = docs.sparkSession
     share = [F.avg(F.when((F.col("verdict") == 1) & (F.col("category") == c), 1.0).otherwise(0.0)).alias(c) for c in CATEGORIES]
     votes = labels.where("doc_id IS NOT NULL AND verdict IS NOT NULL").groupBy("doc_id").agg(F.avg("verdict").alias("any"), F.count("*").alias("n"), *share).where("any <> 0.5")
     votes = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(votes), "doc_id").dropDuplicates(["doc_id"])  # most_labelled rows at most
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(votes), "doc_id")  # most_labelled rows at most
+    texts = texts.groupBy("doc_id", "any", "n", *CATEGORIES).agg(F.min("text").alias("text"))
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(f=[sorted(features(t)) for t in pdf["text"]])[["doc_id", "any", "n", *CATEGORIES, "f"]]
+            ws = [words(t) for t in pdf["text"]]
+            yield pdf.assign(fold=[zlib.crc32(" ".join(w).encode()) % FOLDS for w in ws], f=[sorted(features(t)) for t in pdf["text"]])[[*head, "f"]]
 
-    schema = "doc_id bigint, any double, n bigint, " + ", ".join(f"{c} double" for c in CATEGORIES) + ", f array<string>"
-    labelled = texts.mapInPandas(explode, schema).persist()
-    counts = labelled.select((F.col("any") > 0.5).cast("int").alias("y"), F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("p"), F.count("*").alias("d")).where("d >= 3")
-    seen = counts.orderBy(F.desc("d"), "f").limit(most_features).toPandas()
+    types = {"doc_id": "bigint", "any": "double", "n": "bigint", **dict.fromkeys(CATEGORIES, "double"), "fold": "int"}
+    head = list(types)
+    schema = ", ".join(f"{c} {t}" for c, t in types.items())
+    labelled = stored(texts.mapInPandas(explode, f"{schema}, f array<string>"))
     totals = labelled.agg(F.sum((F.col("any") > 0.5).cast("int")).alias("p"), F.count("*").alias("n")).first()
     base = ((totals["p"] or 0) + 0.5) / ((totals["n"] or 0) + 1)
-    seen["rate"] = (seen["p"] + base) / (seen["d"] + 1)
-    coarse = {look(w): c for c, ws in COARSE.items() for w in ws.split()} | {w[0] + "qq" + w[-1]: c for c, ws in COARSE.items() if c == "abusive" for w in map(look, ws.split())}
     often = max(3, round(OFTEN * (totals["p"] or 0)))  # fewer cases are chance among so many features
-    spread = 2.0 * np.sqrt(seen["rate"] * (1 - seen["rate"]) / (seen["d"] + 1))
-    strong = set(seen.loc[(seen["rate"] - spread > min(0.8, 1.5 * base)) & (seen["p"] >= often), "f"]) | set(coarse)
-    near = [f for f, d in zip(seen["f"], seen["d"], strict=True) if " " in f and d >= often and any(w in strong for w in f.split(" "))]
-    index = {f: i for i, f in enumerate(sorted(strong | set(near)))}
+    rate = (F.col("p") + base) / (F.col("d") + 1)
+    counts = labelled.select((F.col("any") > 0.5).cast("int").alias("y"), F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("p"), F.count("*").alias("d"))
+    counts = stored(counts.where(F.col("d") >= 3).select("f", "d", ((rate - 2.0 * F.sqrt(rate * (1 - rate) / (F.col("d") + 1)) > min(0.8, 1.5 * base)) & (F.col("p") >= often)).alias("strong")))
+    coarse = {look(w): c for c, ws in COARSE.items() for w in ws.split()} | {w[0] + "qq" + w[-1]: c for c, ws in COARSE.items() if c == "abusive" for w in map(look, ws.split())}
+    strong = {r["f"] for r in counts.where("strong").select("f").collect()} | set(coarse)  # of most_labelled documents
+    known_words = spark.createDataFrame([(w,) for w in strong], "w string")
+    pairs = counts.where(F.contains("f", F.lit(" ")) & (F.col("d") >= often))
+    near = {r["f"] for r in pairs.select("f", F.explode(F.split("f", " ")).alias("w")).join(known_words, "w", "left_semi").select("f").distinct().collect()}  # the same
+    index = {f: i for i, f in enumerate(sorted(strong | near))}
     prior = np.zeros((len(CATEGORIES) + 1, len(index)))
     for f, c in coarse.items():
         prior[[CATEGORIES.index(c), -1], index[f]] = PRIOR
-    rows = labelled.select("any", "n", *CATEGORIES, "f")
-    known = docs.sparkSession.sparkContext.broadcast(index)
+    known = spark.sparkContext.broadcast(index)
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.drop(columns="f").assign(i=[[known.value[x] for x in f if x in known.value] for f in pdf["f"]])
 
-    data = rows.mapInPandas(number, "any double, n bigint, " + ", ".join(f"{c} double" for c in CATEGORIES) + ", i array<int>").toPandas()  # most_labelled rows at most
-    labelled.unpersist()
+    data = labelled.mapInPandas(number, f"{schema}, i array<int>").toPandas().sort_values("doc_id", ignore_index=True)  # most_labelled rows at most
     found = [np.asarray(i, dtype=np.int32) for i in data["i"]]
     agree = (data["any"] - 0.5).abs() * 2
     y = data[list(CATEGORIES)].to_numpy(dtype=float)
     y = np.where((data["any"] > 0.5).to_numpy()[:, None] & (y > 0), 1.0, 0.0)
     y = np.column_stack([y, (data["any"] > 0.5).to_numpy(dtype=float)])
-    return train(found, y, (agree * np.sqrt(data["n"])).to_numpy(dtype=float), index, prior)[0]
+    return train(found, y, (agree * np.sqrt(data["n"])).to_numpy(dtype=float), index, prior, data["fold"].to_numpy())[0]
 
 
 def score_documents(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

