@@ -2,28 +2,36 @@
 
 All entries and their alias paths lie in one trie of squeezed texts (lower-case letters and digits). A value is
 squeezed too and walked down the trie with a Levenshtein automaton (insertions, deletions, replacements and swapped
-neighbours cost 1), which returns every entry within a distance that depends on the entry's length. Values with
-remarks are tried at each place where one may begin or end; a stretch that is an entry wins (the longest), else the
-least distance for its length, then the longer entry, then the smaller id.
-
-The trie is small (the reference list and its aliases) and goes along with the code; records are mapped in one pass
-without a shuffle, each distinct value once per worker (a dictionary of bounded size). Defined results: null and
-blank values are left out, as are values that equal an entry; a value that fits none has id -1; repeated rows get
-equal ids; an empty reference list matches nothing.
+neighbours cost 1), which returns every entry within a distance that depends on the entry's length.
+
+A value may hold more than its label, so every stretch of its words is tried. A reading costs its distance over the
+entry's length, and SKIP for each word that it leaves out: words after a sign (a remark) and words before a colon,
+equals sign or closing bracket (a tag) cost nothing, nor do words the column itself shows to be no part of labels:
+those that stand right beside an exact entry in at least SEEN of the values that hold one (so there are at most
+2 / SEEN of them). The cheapest reading within the limit wins; then the longer entry, then the smaller id.
+
+The trie goes along with the code; longer lists than TRIE_ENTRIES are cut into several tries by the hash of the entry,
+each value being tried against all of them one after the other. Records are mapped without a shuffle, each distinct
+value once per worker (a dictionary of bounded size). Defined results: null and blank values are left out, as are
+values that equal an entry; a value that fits none has id -1; repeated rows get equal ids; of entries equal after
+squeezing the smaller id stands; an empty reference list matches nothing.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.llm.mojibake import plausible
+from flowloom.runtime import if_small, stored
 
 UNMATCHED = -1
 KEPT = 200_000
@@ -64,11 +72,12 @@ ALIASES = {
     "Mail Relay Misuse": ("misuse of mail relay", "relay misuse", "mailrelay misuse"),
     "Lateral Movement": ("lateral mvmt", "lateral move", "moving laterally"),
 }
-PREFIXES = frozenset("label attack auto possible prob probably maybe likely class type 1".split())
-SUFFIXES = frozenset("2 3 x2 x3 a b".split())
+SKIP, EXACT_LIMIT, NEAR_LIMIT = 0.15, 0.5, 0.35
+SEEN = 0.001
+TRIE_ENTRIES = 100_000
 _WORD = re.compile(r"[^\W_]+")
-_ENDS = ("?", "!", "*", ".", "]")
-_REMARK = re.compile(r"[-–—/,;:(\[{|\x80-\x9f�\t]|[^\x00-\x7F\xa0]")
+_TAG = re.compile(r"[:=)\]}>#]")
+_REMARK = re.compile(r"[-–—/,;:(\[{|?!*.\]\x80-\x9f�\t]|[^\x00-\x7F\xa0]")
 
 
 def squeeze(text: str) -> str:
@@ -81,13 +90,15 @@ def reach(length: int) -> int:
 
 
 class Trie:
-    def __init__(self, entries: dict[str, int], aliases: dict[str, int]):
+    """Entries (squeezed text: ids); each path ends in all ids it stands for."""
+
+    def __init__(self, entries: dict[str, list[int]]):
         self.root: dict = {}
-        for text, number in [*aliases.items(), *entries.items()]:
+        for text, ids in entries.items():
             node = self.root
-            for c in squeeze(text):
+            for c in text:
                 node = node.setdefault(c, {})
-            node[""] = (number, len(squeeze(text)))
+            node[""] = (sorted(ids), len(text))
 
     def near(self, word: str) -> list[tuple[int, int, int]]:
         """(distance, id, entry length) of all entries within their reach of the word."""
@@ -99,9 +110,9 @@ class Trie:
             node, row, above, last = walk.pop()
             for c, below in node.items():
                 if c == "":
-                    number, length = below
+                    ids, length = below
                     if row[n] <= reach(length):
-                        found.append((row[n], number, length))
+                        found += [(row[n], i, length) for i in ids]
                     continue
                 new = [row[0] + 1]
                 low = new[0]
@@ -120,11 +131,15 @@ class Trie:
 class Matcher:
     """Maps values; keeps those it has met, and the stretches it has looked up, in dictionaries of bounded size."""
 
-    def __init__(self, entries: dict[str, int], aliases: dict[str, tuple[str, ...]]):
-        names = {a: entries[c] for c, others in aliases.items() if c in entries for a in others}
-        self.trie = Trie(entries, names)
-        self.exact = {squeeze(t): i for t, i in [*names.items(), *entries.items()]}
+    def __init__(self, entries: dict[str, int], aliases: dict[str, tuple[str, ...]], beside: frozenset[str] = frozenset()):
+        self.exact: dict[str, list[int]] = {}
+        for text, number in [*entries.items(), *((a, entries[c]) for c, others in aliases.items() if c in entries for a in others)]:
+            if squeeze(text):
+                self.exact.setdefault(squeeze(text), []).append(number)
+        texts = sorted(self.exact)
+        self.tries = [Trie({t: self.exact[t] for t in texts[i : i + TRIE_ENTRIES]}) for i in range(0, len(texts), TRIE_ENTRIES)]
         self.longest = max(map(len, self.exact), default=0)
+        self.beside = beside
         self.kept: dict[str, int] = {}
         self.looked: dict[str, tuple | None] = {}
 
@@ -137,11 +152,13 @@ class Matcher:
 
     def _match(self, value: str) -> int:
         for text in dict.fromkeys((value if value.isascii() else plausible(value), value)):
-            stretches = list(self._stretches(text))
-            if known := [s for s in stretches if s in self.exact]:
-                return self.exact[max(known, key=len)]
-            if found := [r for s in stretches if (r := self._closest(s))]:
-                return min(found)[-1]
+            stretches = self.stretches(text)
+            known = [(cost, -len(s), min(self.exact[s])) for s, cost in stretches if cost <= EXACT_LIMIT and s in self.exact]
+            if known and min(known)[0] == 0:
+                return min(known)[-1]
+            found = [(r[0] + cost, *r[1:]) for s, cost in stretches if cost < NEAR_LIMIT and (r := self._closest(s)) and r[0] + cost <= NEAR_LIMIT]
+            if known or found:
+                return min(known + found)[-1]
         return UNMATCHED
 
     def _closest(self, stretch: str) -> tuple[float, int, int] | None:
@@ -149,42 +166,77 @@ class Matcher:
         if stretch not in self.looked:
             if len(self.looked) >= KEPT:
                 self.looked.clear()
-            found = self.trie.near(stretch)
-            self.looked[stretch] = min((d / length, -length, i) for d, i, length in found) if found else None
+            self.looked[stretch] = min(((d / length, -length, i) for t in self.tries for d, i, length in t.near(stretch)), default=None)
         return self.looked[stretch]
 
-    def _stretches(self, text: str) -> Iterator[str]:
-        """Squeezed stretches of the value that may be its label, without what precedes it or remarks on it."""
+    def _words(self, text: str) -> tuple[list[str], list[str]]:
+        """The words, and the signs before, between and after them."""
         text = unicodedata.normalize("NFKC", text.replace("\xa0", " "))
-        words = list(_WORD.finditer(text.lower()))
-        low = [w[0] for w in words]
-        for start in range(len(words)):
+        at = list(_WORD.finditer(text.lower()))
+        ends = [0, *(w.end() for w in at)]
+        return [w[0] for w in at], [text[e : w.start()] for e, w in zip(ends, at, strict=False)] + [text[ends[-1] :]]
+
+    def stretches(self, text: str) -> list[tuple[str, float]]:
+        """Squeezed stretches of a value's words, with the cost of the words left out."""
+        words, gaps = self._words(text)
+        n, out = len(words), {}
+        price = [0.0 if w in self.beside else SKIP for w in words]
+        after = [0.0] * (n + 1)  # of leaving out the words from here on: up to the next sign
+        for i in range(n - 1, -1, -1):
+            after[i] = 0.0 if _REMARK.search(gaps[i]) else price[i] + after[i + 1]
+        before = 0.0
+        for start in range(n):
+            if _TAG.search(gaps[start]):
+                before = 0.0
             joined = ""
-            for end in range(start, len(words)):
-                joined += low[end]
+            for end in range(start, n):
+                joined += words[end]
                 if len(joined) > self.longest + 3:
                     break
-                if end + 1 < len(words):
-                    gap = text[words[end].end() : words[end + 1].start()]
-                    if not (_REMARK.search(gap) or low[end + 1] in SUFFIXES or gap.rstrip()[-1:] in _ENDS):
-                        continue
-                yield joined
-            if low[start] not in PREFIXES:
-                break
-
-
-def map_values(df: DataFrame, id_col: str, text_col: str, entries: DataFrame, number: str, name: str, aliases: dict[str, tuple[str, ...]] | None = None, most_entries: int = 100_000) -> DataFrame:
+                cost = before + after[end + 1]
+                if cost < out.get(joined, 9.0):
+                    out[joined] = cost
+            before += price[start]
+        return list(out.items())
+
+    def neighbours(self, value: str) -> tuple[bool, set[str]]:
+        """Whether the value holds an exact entry, and the words right beside the longest one that no sign parts from it."""
+        words, gaps = self._words(value)
+        best = max(((len(j), a, z) for a in range(len(words)) for z in range(a, len(words)) if (j := "".join(words[a : z + 1])) in self.exact), default=None)
+        if best is None:
+            return False, set()
+        _, a, z = best
+        sides = ([words[a - 1]] if a and not _TAG.search(gaps[a]) else []) + ([words[z + 1]] if z + 1 < len(words) and not _REMARK.search(gaps[z + 1]) else [])
+        return True, set(sides)
+
+
+def map_values(df: DataFrame, id_col: str, text_col: str, entries: DataFrame, number: str, name: str, aliases: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(id_col, number): one row per record whose text is not null, not blank and no entry itself."""
-    known = entries.select(number, name).where(F.col(name).isNotNull()).orderBy(number).limit(most_entries + 1).collect()
-    if len(known) > most_entries:
-        raise ValueError(f"more than {most_entries} entries: split the list")
+    spark = df.sparkSession
+    known = entries.select(number, name).where(F.col(name).isNotNull()).orderBy(number).collect()  # the reference list
     numbers = {r[1]: int(r[0]) for r in reversed(known)}
-    shared = df.sparkSession.sparkContext.broadcast((numbers, ALIASES if aliases is None else aliases))
-    names = F.broadcast(entries.select(F.col(name).alias("__name")))  # at most most_entries rows
-    open_rows = df.select(id_col, text_col).where(F.col(text_col).rlike(r"(?U)\S")).join(names, F.col(text_col) == F.col("__name"), "left_anti")
+    names = entries.select(F.col(name).alias("__name")).distinct()
+    open_rows = df.select(id_col, text_col).where(F.col(text_col).rlike(r"(?U)\S")).join(if_small(names), F.col(text_col) == F.col("__name"), "left_anti")
+    lists = spark.sparkContext.broadcast((numbers, ALIASES if aliases is None else aliases))
+
+    def beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        match, seen = Matcher(*lists.value), Counter()
+        for pdf in batches:
+            for text in pdf["text"]:
+                exact, words = match.neighbours(text)
+                seen.update(words)
+                seen[""] += exact
+        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+
+    values = open_rows.groupBy(F.col(text_col).alias("text")).agg(F.lit(1))
+    counted = values.select("text").mapInPandas(beside, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = stored(counted)
+    total = counted.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    words = frozenset(r["word"] for r in counted.where((F.col("word") != "") & (F.col("n") >= max(2, total * SEEN))).collect())  # at most 2 / SEEN
+    shared = spark.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(*shared.value)
+        match = Matcher(*lists.value, shared.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([match(t) for t in b.column(1).to_pylist()], pa.int64())], names=[id_col, number])
 

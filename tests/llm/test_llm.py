@@ -91,6 +91,8 @@ def test_patterns_against_brute_force(spark):
     got = rows(sequences.frequent_patterns(flows(spark, data), "capture_id", "session_id", "timestamp", "token", "record_id", 0.3, 5, 2, 4))
     want = sorted(((cap, p, k) for cap in (0, 1) for p, k in brute(by[cap].values(), 30, 0.3, 5, 2, 4)), key=str)
     assert got == want and got
+    spread = sequences.frequent_patterns(flows(spark, data), "capture_id", "session_id", "timestamp", "token", "record_id", 0.3, 5, 2, 4, tree_patterns=0)
+    assert rows(spread) == want
 
 
 def test_pattern_edges(spark):
@@ -102,9 +104,10 @@ def test_pattern_edges(spark):
     assert sequences.frequent_patterns(none, *args, 0.1, 1, 1, 3).count() == 0
     ties = flows(spark, [(2, 0, "s", t, "B", "", 0), (1, 0, " S ", t, "A", "", 0), (3, 0, None, t, "A", "", 0), (4, None, "s", t, "A", "", 0), (5, 0, "z", t, None, "", 0)])
     assert rows(sequences.frequent_patterns(ties, *args, 0.5, 1, 2, 2)) == [(0, "A>B", 1)]
-    many = flows(spark, [(i, 0, "s", t, f"T{i}", "", 0) for i in range(20)])
-    with pytest.raises(ValueError):
-        sequences.frequent_patterns(many, *args, 0.1, 1, 1, 3)
+    many = flows(spark, [(i, 0, f"s{i % 2}", t, f"T{i // 2}", "", 0) for i in range(80)])
+    got = sequences.frequent_patterns(many, *args, 0.6, 1, 2, 2)
+    assert rows(got.groupBy("support").count()) == [(2, 40 * 39 // 2)]
+    assert [sequences.number(sequences.symbol(i)) for i in (0, 25, 55_000, 60_000)] == [0, 25, 55_000, 60_000]
 
 
 def test_reduction_keeps_subsequences():
@@ -229,6 +232,7 @@ def test_labels():
     m = labels.Matcher(CLASSES, labels.ALIASES)
     for text, want in {
         "benign": 1, "B3NIGN – geprüft": 1, "BEINGN (2)": 1, "label=BENIGN: x": 1, "Benign  Traffic Ã¢â‚¬â€œ ÃƒÂ\xa0 revoir": 1, "hulk": 5, "DoS/Hulk [a]": 5, "d0s hulk": 5, "ssh�patator": 12,
+        "label: DoS Hulk": 5, "possible DoS Hulk": 5, "verdict: DoS Hulk": 5, "suspected DoS Hulk": 5, "Verdacht DoS Hulk": 5, "please check DoS Hulk": 5, "DoS Hulk seen at noon": 5, "not sure": -1, "lost robot": -1, "misc - not": -1,
         "x.s.s. web": 15, "web attack_xss": 15, "DDoS slowloris": 7, "D.D.o.S.": 3, "a bot": 2, "none of these": -1, "???": -1, "0": -1, "unknown": -1, "lost laptop": -1, "x" * 100_000: -1,
     }.items():
         assert m(text) == want, text
@@ -246,10 +250,10 @@ def test_automaton_against_distances():
 
     rnd = random.Random(6)
     words = {"".join(rnd.choice("abc") for _ in range(rnd.randint(3, 12))): i for i in range(60)}
-    trie = labels.Trie(words, {})
+    trie = labels.Trie({w: [i, i + 1000] for w, i in words.items()})
     for _ in range(200):
         w = "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 13)))
-        want = {(distance(w, e), i) for e, i in words.items() if distance(w, e) <= labels.reach(len(e))}
+        want = {(distance(w, e), i) for e, n in words.items() if distance(w, e) <= labels.reach(len(e)) for i in (n, n + 1000)}
         assert {(d, i) for d, i, _ in trie.near(w)} == want
 
 
@@ -261,6 +265,15 @@ def test_map_values(spark):
     assert labels.map_values(df.where("false"), "record_id", "label", entries, "class_id", "class_name").count() == 0
 
 
+def test_long_lists_and_learned_words(monkeypatch):
+    monkeypatch.setattr(labels, "TRIE_ENTRIES", 5)
+    m = labels.Matcher(CLASSES, labels.ALIASES)
+    assert len(m.tries) > 5 and m("DoS slowlorsi") == labels.Matcher(CLASSES, {})("DoS slowlorsi") == 7
+    plain, taught = labels.Matcher(CLASSES, {}), labels.Matcher(CLASSES, {}, frozenset(["foo", "bar"]))
+    assert plain.neighbours("foo DoS Hulk bar") == (True, {"foo", "bar"}) and plain.neighbours("tag: DoS Hulk, remark") == (True, set())
+    assert plain("foo bar foo DoS Hulk bar") == -1 and taught("foo bar foo DoS Hulk bar") == 5
+
+
 # 2
 
 
