@@ -10,7 +10,7 @@
    round through the source: no token is used more than max_repeats times, and none again before all others once.
 4. Slots join blocks by (source, block number), which spreads any source over all tasks.
 
-The only rows on the driver are one for each source of the targets (a fixed list; more than `most_sources` raise).
+The only rows on the driver are one for each source of the targets, a list written by hand that doesn't grow with the pages.
 Defined results: pages with null, empty or unlisted source or without tokens give nothing; a listed source without
 pages gets no slot; slots that no source may fill stay out and the report shows the shortfall; repeated pages are
 pages of their own; an empty table gives an empty mix.
@@ -26,10 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.bpe import count_tokens
+from flowloom.llm.bpe import count_tokens, encode_column
 from flowloom.runtime import if_small, stored
 
-BUCKETS = 1024
+BUCKETS, STRETCH, AT_ONCE = 1024, 1024, 1024
 MIX = "shard bigint, slot bigint, source string, block bigint, round int"
 
 
@@ -71,16 +71,14 @@ def block_pieces(pages: DataFrame, block: int) -> DataFrame:
     totals = rows.groupBy("source", "__b").agg(F.sum("n_tokens").alias("__s"))
     before = totals.select("source", "__b", F.coalesce(F.sum("__s").over(Window.partitionBy("source").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("source", "__b").orderBy("__o", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = rows.withColumn("__in", inside).join(before, ["source", "__b"]).withColumn("__a", F.col("__before") + F.col("__in"))
+    at = rows.withColumn("__in", inside).join(if_small(before), ["source", "__b"]).withColumn("__a", F.col("__before") + F.col("__in"))
     size = F.lit(block)
     cut = at.withColumn("block", F.explode(F.sequence(F.floor(F.col("__a") / size), F.floor((F.col("__a") + F.col("n_tokens") - 1) / size))))
     return cut.select("source", "block", "doc_id", F.greatest(F.col("block") * size - F.col("__a"), F.lit(0)).alias("tok_from"), F.least((F.col("block") + 1) * size - F.col("__a"), F.col("n_tokens")).alias("tok_to"))
 
 
-def make_plan(totals: DataFrame, targets: DataFrame, block: int, per_shard: int, total_tokens: int | None, seed: int, most_sources: int = 10_000) -> Plan:
-    rows = targets.where("source IS NOT NULL").join(totals, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens")).orderBy("source").limit(most_sources + 1).collect()
-    if len(rows) > most_sources:
-        raise ValueError(f"more than {most_sources} sources in the targets")
+def make_plan(totals: DataFrame, targets: DataFrame, block: int, per_shard: int, total_tokens: int | None, seed: int) -> Plan:
+    rows = targets.where("source IS NOT NULL").join(totals, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens")).orderBy("source").collect()  # the targets
     shares = np.array([r["target_share"] or 0.0 for r in rows])
     shares = shares / (shares.sum() or 1.0)
     tokens = np.array([r["tokens"] for r in rows], dtype=np.int64)
@@ -107,15 +105,19 @@ def draw_slots(spark, plan: Plan) -> DataFrame:
     total = np.zeros(len(plan.names), dtype=np.int64)
     for r in drawn.groupBy("s").agg(F.sum("n").alias("n")).collect():
         total[r["s"]] = r["n"]
-    along = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = drawn.withColumn("first", F.coalesce(F.sum("n").over(along), F.lit(0)))
+    # shards are numbered within stretches, and stretches by their totals, so that no task has all shards of a source
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = drawn.withColumn("stretch", F.floor(F.col("shard") / F.lit(STRETCH)))
+    before = placed.groupBy("s", "stretch").agg(F.sum("n").alias("n")).select("s", "stretch", earlier("n", Window.partitionBy("s").orderBy("stretch")).alias("before"))
+    inside = placed.withColumn("inside", earlier("n", Window.partitionBy("s", "stretch").orderBy("shard")))
+    numbered = inside.join(if_small(before), ["s", "stretch"]).select("shard", "s", "n", "first_slot", (F.col("before") + F.col("inside")).alias("first"))
     spare_at = np.cumsum(np.maximum(total - plan.quota, 0)) - np.maximum(total - plan.quota, 0)
     lack = np.maximum(plan.quota - total, 0)
     lack_end = np.cumsum(lack)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = np.array(plan.names, dtype=object)
-        for pdf in batches:
+        for pdf in (pdf.iloc[i : i + AT_ONCE] for pdf in batches for i in range(0, len(pdf), AT_ONCE)):  # a row is per_shard slots at most
             n = pdf["n"].to_numpy()
             rep = lambda c: np.repeat(pdf[c].to_numpy(), n)
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -131,9 +133,9 @@ def draw_slots(spark, plan: Plan) -> DataFrame:
             turn = q // np.maximum(plan.blocks[s], 1)
             block = np.zeros(len(q), dtype=np.int64)
             pair = s * (int(turn.max(initial=0)) + 1) + turn
-            for p in np.unique(pair):
-                at = pair == p
-                i, t = int(s[at][0]), int(turn[at][0])
+            order = np.argsort(pair, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(pair[order])) + 1) if len(order) else ():
+                i, t = int(s[at[0]]), int(turn[at[0]])
                 block[at] = permuted(q[at] % plan.blocks[i], int(plan.blocks[i]), (plan.seed << 40) + (i << 16) + t)
             yield pd.DataFrame({"shard": shard, "slot": slot, "source": names[s], "block": block, "round": turn})
 
@@ -152,11 +154,25 @@ def mix(docs: DataFrame, targets: DataFrame, block: int = 512, per_shard: int =
     return draw_slots(spark, plan).join(block_pieces(pages, block), ["source", "block"]), pages
 
 
+def packed(mixed: DataFrame, docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(shard, slot, source, ids): the token ids of each filled slot, its pieces in the order of their block."""
+    ids = encode_column(docs.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "text", *([vocabulary] if vocabulary else [])).select(F.col("doc_id").alias("__doc"), "ids")
+    pieces = mixed.join(ids, F.col("doc_id") == F.col("__doc")).withColumn("part", F.expr("slice(ids, int(tok_from + 1), int(tok_to - tok_from))"))
+    order = F.struct(F.xxhash64("doc_id").alias("o"), "doc_id", "part")
+    slots = pieces.withColumn("__b", F.pmod(F.shiftrightunsigned(F.xxhash64("doc_id"), 40), F.lit(BUCKETS))).groupBy("shard", "slot", "source").agg(F.sort_array(F.collect_list(F.struct("__b", order.alias("x")))).alias("parts"))  # a block's pieces
+    return slots.select("shard", "slot", "source", F.flatten(F.transform("parts", lambda p: p["x"]["part"])).alias("ids"))
+
+
 def report(mixed: DataFrame, pages: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per listed source: target and actual share of all tokens, tokens in and out, most uses of a token."""
+    """One row per listed source: target and actual share of all tokens, tokens in and out, most uses of a token and of a page.
+
+    A page is used once for each round through its source that takes any of it, in however many slots its pieces lie.
+    """
+    rounds = mixed.groupBy("source", "doc_id").agg(F.countDistinct("round").alias("n"))
+    page_uses = rounds.groupBy("source").agg(F.max("n").alias("most_page_uses"))
     uses = mixed.groupBy("source", "doc_id", "tok_from", "tok_to").agg(F.count("*").alias("n"))
     out = uses.groupBy("source").agg(F.sum(F.col("n") * (F.col("tok_to") - F.col("tok_from"))).alias("out_tokens"), F.max("n").alias("most_uses"))
     had = pages.groupBy("source").agg(F.count("*").alias("n_pages"), F.sum("n_tokens").alias("n_tokens"))
-    rows = targets.where("source IS NOT NULL").dropDuplicates(["source"]).join(had, "source", "left").join(out, "source", "left").na.fill(0, ["n_pages", "n_tokens", "out_tokens", "most_uses"])
+    rows = targets.where("source IS NOT NULL").dropDuplicates(["source"]).join(had, "source", "left").join(out, "source", "left").join(page_uses, "source", "left").na.fill(0, ["n_pages", "n_tokens", "out_tokens", "most_uses", "most_page_uses"])
     everything = F.sum("out_tokens").over(Window.partitionBy(F.lit(1)))  # over the sources of the targets
-    return rows.select("source", "target_share", F.round(F.coalesce(F.try_divide("out_tokens", everything), F.lit(0.0)), 6).alias("actual_share"), "n_pages", "n_tokens", "out_tokens", "most_uses", "max_repeats")
+    return rows.select("source", "target_share", F.round(F.coalesce(F.try_divide("out_tokens", everything), F.lit(0.0)), 6).alias("actual_share"), "n_pages", "n_tokens", "out_tokens", "most_uses", "most_page_uses", "max_repeats")

@@ -5,13 +5,14 @@ be undone gives a candidate; the text itself is one too. Expectation-maximizatio
 
 * Likelihood: a model of neighbouring characters, counted over all texts that no chain fits (so are as written); its
   table has a fixed number of cells, whatever the data.
-* Prior: how often each source uses each chain, shrunk to the shares over all sources. The E step gives each record
-  its posterior over chains, the M step sums them by source; sources stay distributed rows.
+* Prior: how often each field of each source uses each chain, shrunk to the shares over all of them. The E step gives
+  each text its posterior over chains, the M step sums them by source and field; these stay distributed rows. Rounds
+  end when the shares of the chains settle.
 
 Each record takes its most probable chain. Undoing a UTF-8 step works on the stretches that are valid UTF-8 as read
 by B, so a text garbled in part is restored in part and the rest left as it was; single-byte steps apply to the whole.
 
-Defined results: null, empty and ASCII texts are never garbled; a text that holds U+FFFD has lost its bytes, its
+`text_col` may be several columns, each a field of its own; then the rows have the field's name too. Defined results: null, empty and ASCII texts are never garbled; a text that holds U+FFFD has lost its bytes, its
 restored text is empty; repeated rows get equal results within a source; texts of any length are handled whole.
 """
 
@@ -26,10 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.runtime import stored
+from flowloom.runtime import if_small, stored
 
 CELLS = 1 << 16
-ROUNDS = 4
+MOST_ROUNDS, SETTLED = 50, 1e-3  # rounds end when less than this part of all records changes its chain
 SHRINK = 20.0  # records a source's prior counts of the shares over all sources
 AS_WRITTEN = "as_written"
 # Encodings that texts are misread as, and single-byte pairs (written as, read as).
@@ -144,12 +145,14 @@ def _score(text: str, table: np.ndarray) -> float:
     return float(np.log(0.5 * own + 0.5 * q[ids[:, 1] - CELLS] * q[ids[:, 2] - CELLS]).sum()) - 12.0 * controls
 
 
-def find_garbled(df: DataFrame, id_col: str, text_col: str, source_col: str, rounds: int = ROUNDS) -> DataFrame:
-    """(id_col, chain, restored): one row per record whose text is garbled."""
+def find_garbled(df: DataFrame, id_col: str, text_col: str | list[str], source_col: str, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(id_col, chain, restored), with several text columns (id_col, field, chain, restored): one row per text that is garbled."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col), F.col(text_col).alias("__text"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source")).where(F.col("__text").rlike(r"[^\x00-\x7F]"))
-    lost = rows.where(F.contains("__text", F.lit("�"))).select(id_col, F.lit("lost").alias("chain"), F.lit("").alias("restored"))
-    texts = stored(rows.where(~F.contains("__text", F.lit("�"))).groupBy("__source", "__text").agg(F.count("*").alias("n")))
+    fields = [text_col] if isinstance(text_col, str) else text_col
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in fields]))
+    rows = df.select(F.col(id_col), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"), each.alias("__x")).select(id_col, "__source", F.col("__x.field").alias("__field"), F.col("__x.text").alias("__text")).where(F.col("__text").rlike(r"[^\x00-\x7F]"))
+    lost = rows.where(F.contains("__text", F.lit("�"))).select(id_col, F.col("__field").alias("field"), F.lit("lost").alias("chain"), F.lit("").alias("restored"))
+    texts = stored(rows.where(~F.contains("__text", F.lit("�"))).groupBy("__source", "__field", "__text").agg(F.count("*").alias("n")))
 
     def clean_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = np.zeros(2 * CELLS, dtype=np.int64)
@@ -170,34 +173,42 @@ def find_garbled(df: DataFrame, id_col: str, text_col: str, source_col: str, rou
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for source, text, n in pdf[["__source", "__text", "n"]].itertuples(index=False, name=None):
+            for source, field, text, n in pdf[["__source", "__field", "__text", "n"]].itertuples(index=False, name=None):
                 found = candidates(text)
-                out += [(source, text, n, name, t, _score(t, model.value)) for name, t in found.items()] if len(found) > 1 else []
-            yield pd.DataFrame(out, columns=["source", "text", "n", "chain", "restored", "loglik"])
+                if len(found) > 1:
+                    out.append((source, field, text, n, list(found), list(found.values()), [_score(t, model.value) for t in found.values()]))
+            yield pd.DataFrame(out, columns=["source", "field", "text", "n", "chains", "texts", "loglik"])
 
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work: not to be put together
-    options = stored(texts.repartition(tasks, "__text").mapInPandas(score, "source string, text string, n bigint, chain string, restored string, loglik double"))
-
-    def posterior(prior: DataFrame | None) -> DataFrame:
-        scored = options if prior is None else options.join(prior, ["source", "chain"], "left")
-        logp = F.col("loglik") + (F.when(F.col("chain") == AS_WRITTEN, 0.0).otherwise(-2.0) if prior is None else F.coalesce("logprior", F.lit(-12.0)))
-        by = scored.withColumn("__l", logp).groupBy("source", "text").agg(F.max("n").alias("n"), F.max("__l").alias("__m"), F.collect_list(F.struct("chain", "restored", "__l")).alias("__o"))  # as many as there are chains
-        z = F.aggregate("__o", F.lit(0.0), lambda a, x: a + F.exp(x["__l"] - F.col("__m")))
-        return by.withColumn("__z", z)
-
-    prior = None
-    for _ in range(rounds):
-        post = posterior(prior)
-        share = post.select("source", "n", "__m", "__z", F.explode("__o").alias("x")).groupBy("source", F.col("x.chain").alias("chain")).agg(F.sum(F.col("n") * F.exp(F.col("x.__l") - F.col("__m")) / F.col("__z")).alias("r"))
-        every = share.groupBy("chain").agg(F.sum("r").alias("r_all"))
-        total = share.groupBy("source").agg(F.sum("r").alias("r_source"))
-        whole = share.agg((F.sum("r") + 1e-9).alias("r_whole"))
-        joined = share.join(every, "chain").join(total, "source").join(F.broadcast(whole))  # one row
-        prior = stored(joined.select("source", "chain", F.log((F.col("r") + SHRINK * (F.col("r_all") + 1e-4) / F.col("r_whole")) / (F.col("r_source") + SHRINK)).alias("logprior")))
-    best = posterior(prior).select("source", "text", F.array_max(F.transform("__o", lambda x: F.struct(x["__l"], x["chain"], x["restored"]))).alias("b"))
-    garbled = best.where(F.col("b.chain") != AS_WRITTEN).select("source", "text", F.col("b.chain").alias("chain"), F.col("b.restored").alias("restored"))
-    back = rows.join(garbled, (F.col("__source") == F.col("source")) & (F.col("__text") == F.col("text"))).select(id_col, "chain", "restored")
-    return back.unionByName(lost)
+    options = stored(texts.repartition(tasks, "__text").mapInPandas(score, "source string, field string, text string, n bigint, chains array<string>, texts array<string>, loglik array<double>"))
+    own = ["source", "field"]
+
+    def weighed(prior: DataFrame | None) -> DataFrame:
+        """options with `__l`: log likelihood plus prior of each chain, as many as there are chains."""
+        if prior is None:
+            return options.withColumn("__l", F.transform("chains", lambda c: F.when(c == AS_WRITTEN, 0.0).otherwise(-2.0))).withColumn("__l", F.zip_with("loglik", "__l", lambda a, b: a + b))
+        by = prior.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("chain", "logprior"))).alias("__prior"))  # one row a field and source
+        return options.join(if_small(by), own, "left").withColumn("__l", F.zip_with("loglik", F.transform("chains", lambda c: F.coalesce(F.try_element_at("__prior", c), F.lit(-12.0))), lambda a, b: a + b)).drop("__prior")
+
+    prior, before = None, None
+    for _ in range(most_rounds):
+        e = weighed(prior).withColumn("__e", F.transform("__l", lambda x: F.exp(x - F.array_max("__l"))))
+        part = e.withColumn("__z", F.aggregate("__e", F.lit(0.0), lambda a, x: a + x)).select(*own, "n", "__z", F.explode(F.arrays_zip("chains", "__e")).alias("x"))
+        share = stored(part.groupBy(*own, F.col("x.chains").alias("chain")).agg(F.sum(F.col("n") * F.col("x.__e") / F.col("__z")).alias("r")))
+        every = {r["chain"]: r["r"] for r in share.groupBy("chain").agg(F.sum("r").alias("r")).collect()}  # one row a chain
+        whole = sum(every.values())
+        total = share.groupBy(*own).agg(F.sum("r").alias("r_own"))
+        overall = F.element_at(F.create_map(*[F.lit(x) for kv in every.items() for x in kv]), F.col("chain")) if every else F.lit(0.0)
+        prior = share.join(if_small(total), own).select(*own, "chain", F.log((F.col("r") + SHRINK * (overall + 1e-4) / (whole + 1e-9)) / (F.col("r_own") + SHRINK)).alias("logprior"))
+        moved = sum(abs(every.get(c, 0.0) - (before or {}).get(c, 0.0)) for c in {*every, *(before or {})})
+        if before is not None and moved <= SETTLED * whole:
+            break
+        before = every
+    best = weighed(prior).select(*own, "text", F.array_max(F.transform(F.arrays_zip("__l", "chains", "texts"), lambda x: F.struct(x["__l"], x["chains"], x["texts"]))).alias("b"))
+    garbled = best.where(F.col("b.chains") != AS_WRITTEN).select(F.col("source").alias("__s"), F.col("field").alias("__f"), F.col("text").alias("__t"), F.col("b.chains").alias("chain"), F.col("b.texts").alias("restored"))
+    back = rows.join(garbled, (F.col("__source") == F.col("__s")) & (F.col("__field") == F.col("__f")) & (F.col("__text") == F.col("__t"))).select(id_col, F.col("__field").alias("field"), "chain", "restored")
+    out = back.unionByName(lost)
+    return out.drop("field") if isinstance(text_col, str) else out
 
 
 def plausible(text: str) -> str:

@@ -204,6 +204,16 @@ def test_mix(spark):
     for s, share in (("A", 0.5), ("B", 0.3), ("C", 0.1)):
         assert abs(got[s]["out_tokens"] / filled - share / 0.9) < 0.02
     assert got["D"]["out_tokens"] == 0 and got["D"]["n_pages"] == 0
+    assert all(got[s]["most_page_uses"] <= got[s]["max_repeats"] for s in "ABC")
+    enc = bpe.encoder(bpe.vocabulary_path())
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = {(r["shard"], r["slot"]): r["ids"] for r in mixing.packed(mixed, docs).collect()}
+    sizes = Counter()
+    for r in pieces:
+        sizes[r["shard"], r["slot"]] += r["tok_to"] - r["tok_from"]
+        part = enc.encode(texts[r["doc_id"]])[r["tok_from"] : r["tok_to"]]
+        assert any(ids[r["shard"], r["slot"]][i : i + len(part)] == list(part) for i in range(64))
+    assert {k: len(v) for k, v in ids.items()} == dict(sizes) and max(sizes.values()) == 64
     none, pages = mixing.mix(docs.where("false"), targets)
     assert none.count() == 0 and mixing.report(none, pages, targets).count() == 4
 
@@ -311,6 +321,8 @@ def test_garbled_text_round_trip(spark):
     assert set(got) == set(want)
     assert sum(got[k] != v for k, v in want.items()) <= 0.03 * len(want)
     assert mojibake.find_garbled(df.where("false"), "record_id", "label", "source_file").count() == 0
+    two = mojibake.find_garbled(df.withColumn("remark", F.lit("plain")), "record_id", ["label", "remark"], "source_file")
+    assert {r["record_id"]: r["restored"] for r in two.collect()} == got and {r["field"] for r in two.collect()} == {"label"}
 
 
 # 10
