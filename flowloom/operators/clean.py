@@ -5,6 +5,7 @@ All functions keep other columns. Defined results: see each function for nulls;
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from itertools import chain
 
@@ -99,13 +100,24 @@ def impute_times(df: DataFrame, seq: str, time: str = "timestamp") -> DataFrame:
 TIME_FORMATS = ("d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm")
 
 
-def parse_times(df: DataFrame, text: str, out: str, mode: str = "coalesce") -> DataFrame:
+def guessed_format(first: str | None) -> str:
+    """The format a column's first value suggests: month first where that is possible, with seconds if it has them."""
+    m = re.match(r"\s*(\d{1,2})/(\d{1,2})/\d{4}(?:[ T]+\d{1,2}:\d{2}(:\d{2})?)?", first or "")
+    if not m:
+        return "M/d/yyyy H:mm:ss"
+    order = "d/M/yyyy" if int(m[1]) > 12 else "M/d/yyyy"
+    return f"{order} H:mm:ss" if m[3] else f"{order} H:mm"
+
+
+def parse_times(df: DataFrame, text: str, out: str, mode: str = "coalesce", seq: str | None = None) -> DataFrame:
     """Times of a text column. coalesce: each row by the first format that fits; reference: one format for the whole
-    column, the first after month-first that leaves fewer nulls, tried only if more than half stay null."""
+    column, guessed from its first value (by `seq`, else the least text); if more than half stay null, the first of the
+    known formats that leaves fewer nulls."""
     as_time = lambda f: F.try_to_timestamp(F.col(text), F.lit(f)).cast("timestamp_ntz")
     if mode == "coalesce":
         return df.withColumn(out, F.coalesce(*[as_time(f) for f in TIME_FORMATS]))
-    guess = ("M/d/yyyy H:mm:ss", *TIME_FORMATS)
+    first = df.where(F.col(text).isNotNull()).agg(F.min_by(text, seq or text).alias("t")).first()["t"]
+    guess = (guessed_format(first), *TIME_FORMATS)
     nulls = df.agg(F.count("*").alias("n"), *[F.count_if(as_time(f).isNull()).alias(f"n{i}") for i, f in enumerate(guess)]).first()
     best = 0
     if nulls["n"] and nulls["n0"] > nulls["n"] / 2:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.config import SETTINGS
 
+# The wording of reports, which must equal that of reports they are compared with.
 ACTION = "Review session; correlate source IP against recent alerts."
 
 
@@ -17,19 +18,6 @@ def top_attributions(values: Column, k: int = SETTINGS.explain_top_k) -> Column:
     return F.transform(F.slice(ranked, 1, k), lambda e: F.struct(e["name"].alias("name"), e["value"].alias("value")))
 
 
-def tree_attributions(model, df: DataFrame, names: list[str], keep: list[str], k: int = SETTINGS.explain_top_k) -> DataFrame:
-    """keep and `top`: a tree ensemble's importances times each row's distance from the middle of the scaled range."""
-    weight = model.featureImportances.toArray().tolist()
-    pairs = [x for n, w in zip(names, weight, strict=True) for x in (F.lit(n), F.lit(float(w)) * (F.col(n) - 0.5))]
-    return df.select(*keep, top_attributions(F.create_map(*pairs), k).alias("top"))
-
-
-def token_attributions(counts: Column, coefficients: dict[str, float], k: int = SETTINGS.explain_top_k) -> Column:
-    """Coefficient times count of each token of a linear model (its exact gradient times input)."""
-    pairs = [x for t, c in coefficients.items() for x in (F.lit(t), F.lit(float(c)) * F.coalesce(F.try_element_at(counts, F.lit(t)), F.lit(0)))]
-    return top_attributions(F.create_map(*pairs), k)
-
-
 def listed(pairs: Column) -> Column:
     """`name(+0.123), ...` of (name, value) pairs."""
     return F.array_join(F.transform(pairs, lambda e: F.format_string("%s(%+.3f)", e["name"], e["value"])), ", ")

@@ -41,6 +41,12 @@ def model_feature_sets(columns: list[str]) -> dict[str, list[str]]:
     return {"forest": pick("A", "B"), "boosting": pick("B", "D"), "context": pick("C")}
 
 
+def _long(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(c, x): the values of all columns that are not null, c the column's place: one small expression, however many columns there are."""
+    values = F.array(*[x.cast("double") for x in columns.values()])
+    return df.select(F.posexplode(values).alias("c", "x")).where("x IS NOT NULL")
+
+
 def order_statistics(df: DataFrame, columns: dict[str, Column], ranks: dict[str, Callable[[int], list[int]]]) -> dict[str, tuple[int, list[float]]]:
     """(n, values at the wanted 0-based ranks) of each column, exactly; nulls don't count.
 
@@ -48,11 +54,12 @@ def order_statistics(df: DataFrame, columns: dict[str, Column], ranks: dict[str,
     then linear), all intervals in one scan with partial aggregation, and keeps the part that holds the rank, until its
     least and greatest value are equal. Nothing grows with the data: a round returns BUCKETS rows an interval at most.
     """
-    slim = df.select(*[x.alias(c) for c, x in columns.items()])
-    ends = slim.agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("a"), F.max(c).alias("b")).alias(c) for c in columns]).first()
-    out = {c: (ends[c]["n"], [None] * len(ranks[c](ends[c]["n"]))) for c in columns}
-    todo = [(c, i, r, ends[c]["a"], ends[c]["b"]) for c in columns if ends[c]["n"] for i, r in enumerate(ranks[c](ends[c]["n"]))]
-    first = True
+    names, long = list(columns), _long(df, columns)
+    ends = {names[r["c"]]: r for r in long.groupBy("c").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).collect()}  # one row a column
+    size = {c: ends[c]["n"] if c in ends else 0 for c in names}
+    out = {c: (size[c], [None] * len(ranks[c](size[c]))) for c in names}
+    todo = [(c, i, r, ends[c]["a"], ends[c]["b"]) for c in ends for i, r in enumerate(ranks[c](size[c]))]
+    log, first = (lambda v: math.copysign(math.log1p(abs(v)), v)), True
     while True:
         for c, i, _, a, b in todo:
             if a == b:
@@ -61,22 +68,20 @@ def order_statistics(df: DataFrame, columns: dict[str, Column], ranks: dict[str,
         if not todo:
             return out
         spans = sorted({(c, a, b) for c, _, _, a, b in todo})
-        parts = []
-        for k, (c, a, b) in enumerate(spans):
-            g = (lambda x: F.signum(x) * F.log1p(F.abs(x))) if first else (lambda x: x)
-            ga, gb = (math.copysign(math.log1p(abs(v)), v) if first else v for v in (a, b))
-            if not ga < gb:  # too near for the logarithm
-                g, ga, gb = (lambda x: x), a, b
-            part = F.least(F.lit(BUCKETS - 1), F.greatest(F.lit(0), F.floor((g(F.col(c)) - F.lit(ga)) / F.lit(gb - ga) * BUCKETS))).cast("int")
-            parts.append(F.when(F.col(c).between(a, b), F.struct(F.lit(k).alias("k"), part.alias("part"), F.col(c).alias("x"))))
-        counts = slim.select(F.explode(F.array_compact(F.array(*parts))).alias("v")).groupBy("v.k", "v.part").agg(F.count("*").alias("n"), F.min("v.x").alias("a"), F.max("v.x").alias("b")).orderBy("k", "a").collect()
+        # where an interval is too narrow for its logarithm, or in later rounds, parts are even
+        curved = [first and log(a) < log(b) for _, a, b in spans]
+        table = [(k, names.index(c), a, b, curve, *((log(a), log(b)) if curve else (a, b))) for k, ((c, a, b), curve) in enumerate(zip(spans, curved, strict=True))]
+        spans_df = df.sparkSession.createDataFrame(table, "k int, sc int, a double, b double, curved boolean, ga double, gb double")
+        g = F.when(F.col("curved"), F.signum("x") * F.log1p(F.abs("x"))).otherwise(F.col("x"))
+        part = F.least(F.lit(BUCKETS - 1), F.greatest(F.lit(0), F.floor((g - F.col("ga")) / (F.col("gb") - F.col("ga")) * BUCKETS))).cast("int")
+        inside = long.join(F.broadcast(spans_df), (F.col("c") == F.col("sc")) & F.col("x").between(F.col("a"), F.col("b")))  # a row a wanted rank at most
         by = {}
-        for r in counts:
+        for r in inside.groupBy("k", part.alias("part")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).collect():
             by.setdefault(r["k"], []).append(r)
         new = []
         for c, i, rank, a, b in todo:
             left = rank
-            for r in by[spans.index((c, a, b))]:
+            for r in sorted(by[spans.index((c, a, b))], key=lambda r: r["a"]):
                 if left < r["n"]:
                     new.append((c, i, left, r["a"], r["b"]))
                     break
@@ -115,10 +120,13 @@ def fit_scaler(train: DataFrame, columns: list[str], percentile: float = SETTING
         bound[c] = (mix(0, low), mix(1, 1 - low))
         clipped = [min(max(y, bound[c][0]), bound[c][1]) for y in v[4:]]
         med[c] = clipped[0] + (clipped[1] - clipped[0]) * _between(n, 0.5)[2]
-    clip = {c: clipped_to(x[c], *bound[c]) for c in columns}
-    full = {c: F.coalesce(clip[c], F.lit(med[c] if med[c] is not None else 0.0)) for c in columns}
-    rest = train.agg(*[F.struct(F.var_pop(full[c]).alias("v"), F.min(full[c]).alias("a"), F.max(full[c]).alias("b")).alias(c) for c in columns]).first()
-    rows = [(c, float(bound[c][0]), float(bound[c][1]), med[c], rest[c]["v"], rest[c]["a"], rest[c]["b"], (rest[c]["v"] or 0.0) > floor) for c in columns]
+    filled = {c: F.coalesce(x[c], F.lit(float("nan"))) for c in columns}  # a missing value takes the median below
+    table = [(i, float(bound[c][0]), float(bound[c][1]), float(med[c]) if med[c] is not None else 0.0) for i, c in enumerate(columns)]
+    known = F.broadcast(train.sparkSession.createDataFrame(table, "sc int, lo double, hi double, med double"))  # one row a column
+    full = F.when(F.isnan("x"), F.col("med")).otherwise(F.least(F.greatest(F.col("x"), F.col("lo")), F.col("hi")))
+    rest = {columns[r["c"]]: r for r in _long(train, filled).join(known, F.col("c") == F.col("sc")).groupBy("c").agg(F.var_pop(full).alias("v"), F.min(full).alias("a"), F.max(full).alias("b")).collect()}  # one row a column
+    of = lambda c, k: rest[c][k] if c in rest else None
+    rows = [(c, float(bound[c][0]), float(bound[c][1]), med[c], of(c, "v"), of(c, "a"), of(c, "b"), (of(c, "v") or 0.0) > floor) for c in columns]
     return train.sparkSession.createDataFrame(rows, "feature string, lo double, hi double, median double, variance double, low double, high double, kept boolean")
 
 

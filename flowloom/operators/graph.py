@@ -11,15 +11,15 @@ from flowloom.operators.tokens import transitions
 UNIT = 4096  # transitions of a session that are ranked together
 
 
-def graph_edges(steps: DataFrame, rho: float = SETTINGS.rho, pairs: DataFrame | None = None) -> DataFrame:
+def graph_edges(steps: DataFrame, rho: float = SETTINGS.rho, pairs: DataFrame | None = None, begins: DataFrame | None = None) -> DataFrame:
     """(src, dst, weight), at most 100 rows: the sum of (1 - rho) * rho^(k-1) over the k-th last transitions from src.
 
     Build order is sessions by first time, then session, then position. Transitions are ranked within units of UNIT
     positions of a session, units by running counts within an hour of session starts, hours by running counts of all
     earlier ones: every transition counts at its exact rank, and no task sorts all those of a source or a session.
-    `pairs`: the transitions of the steps, if they are at hand.
+    `pairs`: the transitions of the steps, `begins`: (session, begin), if they are at hand.
     """
-    begin = steps.groupBy("session").agg(F.min("us").alias("begin"))
+    begin = steps.groupBy("session").agg(F.min("us").alias("begin")) if begins is None else begins
     placed = (transitions(steps) if pairs is None else pairs).join(begin, "session").withColumn("unit", F.floor(F.col("pos") / UNIT)).withColumn("hour", F.floor(F.col("begin") / F.lit(3_600_000_000)))
     unit = ["src", "hour", "begin", "session", "unit"]
     k = F.row_number().over(Window.partitionBy(*unit).orderBy(F.desc("pos"))) - 1
@@ -47,12 +47,12 @@ def edge_weight(pairs: DataFrame, edges: DataFrame, novel: float = SETTINGS.nove
     return pairs.join(F.broadcast(seen), F.col("src") == F.col("__src"), "left").withColumn("weight", F.when(F.col("__to").isNull(), F.lit(novel)).otherwise(F.coalesce(F.try_element_at("__to", F.col("dst")), F.lit(0.0)))).drop("__src", "__to")  # one row a token
 
 
-def session_scores(steps: DataFrame, edges: DataFrame, lambdas: tuple[float, ...] = SETTINGS.lambdas, single: float = SETTINGS.single_event_score, pairs: DataFrame | None = None) -> DataFrame:
+def session_scores(steps: DataFrame, edges: DataFrame, lambdas: tuple[float, ...] = SETTINGS.lambdas, single: float = SETTINGS.single_event_score, pairs: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(session, n, g_w, mean_gap_s, tc_0.. one for each lambda): one pass; sessions of one step get `single`."""
     weighted = edge_weight(transitions(steps) if pairs is None else pairs, edges)
     decay = [F.avg(F.col("weight") * F.exp(F.lit(-x) * F.greatest("dt_s", F.lit(0.0)))).alias(f"__tc{i}") for i, x in enumerate(lambdas)]
     scores = weighted.groupBy("session").agg(F.avg("weight").alias("__g"), F.avg("dt_s").alias("__gap"), *decay)
-    sizes = steps.groupBy("session").agg(F.count("*").alias("n"))
+    sizes = steps.groupBy("session").agg(F.count("*").alias("n")) if sizes is None else sizes
     return sizes.join(scores, "session", "left").select("session", "n", F.coalesce("__g", F.lit(single)).alias("g_w"), F.coalesce("__gap", F.lit(0.0)).alias("mean_gap_s"), *[F.coalesce(f"__tc{i}", F.lit(single)).alias(f"tc_{i}") for i in range(len(lambdas))])
 
 

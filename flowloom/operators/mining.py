@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from flowloom.config import SETTINGS
 
 
-MOST_MATCHED = 10_000
-
-
 def itemsets(tokens: DataFrame, min_support: float = SETTINGS.itemset_support) -> DataFrame:
     """(items, freq, support): tokens (session, items array of distinct tokens)."""
     n = tokens.count()
@@ -29,6 +26,15 @@ def fp_match(steps: DataFrame, min_support: float = SETTINGS.itemset_support) ->
     return once.join(F.broadcast(support), "token").groupBy("session").agg(F.max(F.when(F.col("support") >= min_support, F.col("support")).otherwise(0.0)).alias("fp_score"))
 
 
+def item_scores(sessions: DataFrame, min_support: float = SETTINGS.itemset_support) -> DataFrame:
+    """sessions (with items, the different tokens of each) and `fp_score`, the same as fp_match gives."""
+    n = sessions.agg(F.count("*").alias("n"))
+    support = sessions.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("f")).join(F.broadcast(n)).where(F.col("f") / F.col("n") >= min_support)  # one row, and one a token
+    known = support.agg(F.map_from_entries(F.collect_list(F.struct("token", (F.col("f") / F.col("n")).alias("s")))).alias("__support"))
+    best = F.array_max(F.transform("items", lambda t: F.coalesce(F.try_element_at("__support", t), F.lit(0.0))))
+    return sessions.join(F.broadcast(known)).withColumn("fp_score", F.coalesce(best, F.lit(0.0))).drop("__support")  # one row
+
+
 def gap_match(seq: Column, pattern: list[str] | Column, size: Column, max_gap_s: float) -> Column:
     """Greedy scan: a step that is the next one wanted within max_gap of the last matched one advances; a later one
     starts anew if it is the pattern's first step, else clears the state. seq: array of (us, token)."""
@@ -73,9 +79,7 @@ def _holds(seq: Column, patterns: list[list[str]], i: Column, max_gap_s: float)
 
 def sequence_match(seqs: DataFrame, patterns: DataFrame, max_gap_s: float = SETTINGS.max_gap_s) -> DataFrame:
     """(session, seq_score): the greatest support of a pattern the session holds, 0 without one; patterns are few (<= 200)."""
-    rows = patterns.select("pattern", "support").orderBy(F.desc("support"), "pattern").limit(MOST_MATCHED + 1).collect()
-    if len(rows) > MOST_MATCHED:
-        raise ValueError(f"more than {MOST_MATCHED} patterns")
+    rows = patterns.select("pattern", "support").orderBy(F.desc("support"), "pattern").collect()  # the patterns kept, a top-k
     if not rows:
         return seqs.select("session", F.lit(0.0).alias("seq_score"))
     few, support = [r["pattern"] for r in rows], [r["support"] for r in rows]

@@ -1,124 +1,221 @@
 """Classifiers of flows and sessions, and oversampling.
 
-Forest: Spark's random forest with class weights. Boosting: one gradient-boosted model per class, probabilities
-normalised (Spark has no multi-class boosting). Token model: multinomial logistic regression over counts of tokens
-and token pairs of a session, in place of a recurrent net. All return arrays over the 15 classes.
+Forest and boosting are histogram trees (trees.py), the token model is a bidirectional recurrent net (recurrent.py).
+Each is fitted on a bounded sample of the labelled rows (`most_rows`, see sample_rows_to_fit), whose weights restore
+the classes' true shares; scoring is one pass over all rows in Arrow batches. All return arrays over the 15 classes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from flowloom.config import CLASSES, SETTINGS, TOKENS
+from flowloom.config import CLASSES, SETTINGS
+from flowloom.operators import tokens, trees
 from flowloom.operators.clean import hash_order, lookup
-from flowloom.operators.nearest import own_class_share
+from flowloom.operators.nearest import _squares, own_class_share
+from flowloom.operators.recurrent import Recurrent, RecurrentConfig
 from flowloom.runtime import stored
 
 INDEX = {c: i for i, c in enumerate(CLASSES)}
+MOST_ROWS, MOST_SEQUENCES = 20_000, 5_000
+UNLIMITED = 64  # levels no tree on MOST_ROWS rows comes near
 
 
 def with_index(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("class_index", lookup(INDEX, F.col(label)).cast("double")).where("class_index IS NOT NULL")
 
 
-def spread(proba: Column, seen: list[int]) -> Column:
-    """Probabilities over the classes seen in training, laid out over all classes."""
-    return F.array(*[F.get(proba, F.lit(seen.index(i))) if i in seen else F.lit(0.0) for i in range(len(CLASSES))])
+def sample_rows_to_fit(df: DataFrame, columns: list[str], most: int, weight: str | None = None) -> pd.DataFrame:
+    """columns, class_index and weight of about `most` rows, the same ones at every run.
+
+    Classes are taken at one rate, but each at least with its even part of half the rows, so rare ones are whole; what a
+    row stands for goes into its weight.
+    """
+    counts = {r["class_index"]: r["n"] for r in df.groupBy("class_index").agg(F.count("*").alias("n")).collect()}  # 15 at most
+    total, floor = sum(counts.values()), most / (2 * max(1, len(counts)))
+    rate = {c: min(1.0, max(most / 2 / total, floor / n) if total > most else 1.0) for c, n in counts.items()}
+    key = F.xxhash64(*([F.col("seq_no")] if "seq_no" in df.columns else [F.col(c) for c in dict.fromkeys([*columns, "class_index"])]))
+    part = lookup(rate, F.col("class_index")) if rate else F.lit(0.0)
+    chosen = df.select(*columns, F.col("class_index").cast("int").alias("class_index"), ((F.col(weight) if weight else F.lit(1.0)) / part).alias("weight"), key.alias("__key"))
+    chosen = chosen.where(F.pmod("__key", F.lit(1 << 30)) < lookup(rate, F.col("class_index").cast("double")) * (1 << 30)) if rate else chosen.where("false")
+    out = chosen.toPandas()  # about `most` rows
+    return out.sort_values(["__key", "class_index"], kind="stable", ignore_index=True).drop(columns="__key")
+
+
+def _scored(df: DataFrame, inputs: list[str], out: str, out_type: T.DataType, score: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """df with `out`: score(batch with the inputs), in Arrow batches."""
+    kept = [c for c in df.columns if c != out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), score(b)], names=[*kept, out])
+
+    return df.select(*kept).mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), T.StructField(out, out_type)]))
 
 
-def _vector(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
+PROBABILITIES = T.ArrayType(T.DoubleType())
+TOP = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.DoubleType())]))
+
+
+def _matrix(b: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names]) if names else np.zeros((b.num_rows, 0))
+
+
+def _over_classes(p: np.ndarray, seen: list[int]) -> pa.Array:
+    whole = np.zeros((len(p), len(CLASSES)))
+    whole[:, seen] = p
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * len(CLASSES), pa.int32()), pa.array(whole.ravel()))
 
 
 @dataclass
-class Forest:
-    """Random forest on named features."""
+class _Trees:
+    """A tree ensemble on named features."""
 
     features: list[str]
-    trees: int = SETTINGS.tree_count
-    depth: int = 12
     model: object = None
     seen: list[int] = field(default_factory=list)
 
-    def fit(self, df: DataFrame, weight: str | None = None) -> Forest:
-        self.seen = sorted(int(r[0]) for r in df.select("class_index").distinct().collect())  # 15 at most
-        dense = df.withColumn("y", F.array_position(F.lit([float(i) for i in self.seen]), F.col("class_index")).cast("double") - 1)
-        rf = RandomForestClassifier(labelCol="y", numTrees=self.trees, maxDepth=self.depth, featureSubsetStrategy="sqrt", seed=SETTINGS.seed)
-        self.model = (rf.setWeightCol(weight) if weight else rf).fit(_vector(dense, self.features))
+    def predict(self, df: DataFrame, out: str) -> DataFrame:
+        shared, names, seen = df.sparkSession.sparkContext.broadcast(self.model), self.features, self.seen  # bounded by the sample
+        return _scored(df, names, out, PROBABILITIES, lambda b: _over_classes(shared.value.predict(_matrix(b, names)), seen))
+
+    def explain(self, df: DataFrame, out: str = "top", k: int = SETTINGS.explain_top_k, class_index: int | None = None) -> DataFrame:
+        """df with `out`: the k largest path attributions (name, value) of each row, ties by name.
+
+        A feature's attribution is the sum of what its splits on the row's path changed in the class's value. The class is
+        the one given, else the one whose attributions are the largest in total.
+        """
+        shared, names, seen = df.sparkSession.sparkContext.broadcast(self.model), self.features, self.seen
+
+        def top(b: pa.RecordBatch) -> pa.Array:
+            x, found = _matrix(b, names), []
+            for i in range(0, len(x), 512):
+                parts = shared.value.attributions(x[i : i + 512])
+                which = np.full(len(parts), seen.index(class_index)) if class_index in seen else np.abs(parts).sum(axis=1).argmax(axis=1)
+                for row in parts[np.arange(len(parts)), :, which]:
+                    best = sorted(range(len(names)), key=lambda j: (-abs(row[j]), names[j]))[:k]  # noqa: B023 - used at once
+                    found.append([{"name": names[j], "value": float(row[j])} for j in best])
+            return pa.array(found, pa.list_(pa.struct([("name", pa.string()), ("value", pa.float64())])))
+
+        return _scored(df, names, out, TOP, top)
+
+    def _sample(self, df: DataFrame, weight: str | None, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = sample_rows_to_fit(df, self.features, most, weight)
+        self.seen = sorted(int(c) for c in rows["class_index"].unique())
+        return rows[self.features].to_numpy(dtype=float), rows["class_index"].map({c: i for i, c in enumerate(self.seen)}).to_numpy(dtype=np.int64), rows["weight"].to_numpy(dtype=float)
+
+
+@dataclass
+class Forest(_Trees):
+    """Random forest: bootstraps, the root of the number of features tried at each node, no limit of depth."""
+
+    trees: int = SETTINGS.tree_count
+    depth: int = UNLIMITED
+
+    def fit(self, df: DataFrame, weight: str | None = None, most_rows: int = MOST_ROWS) -> Forest:
+        """Trees are grown in parallel, each in one task on the sample."""
+        spark = df.sparkSession
+        x, y, w = self._sample(df, weight, most_rows)
+        cuts = trees.thresholds(x)
+        shared, depth, seed, k = spark.sparkContext.broadcast((trees.binned(x, cuts), y, w)), self.depth, SETTINGS.seed, len(self.seen)
+
+        def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame({"number": pdf["id"], "tree": [pickle.dumps(trees.grow_forest_tree(*shared.value, k, depth, seed, int(i))) for i in pdf["id"]]})
+
+        tasks = min(self.trees, 4 * spark.sparkContext.defaultParallelism)
+        grown = spark.range(0, self.trees, 1, tasks).mapInPandas(grow, "number bigint, tree binary").toPandas().sort_values("number")
+        self.model = trees.ForestModel(cuts, k, [pickle.loads(t) for t in grown["tree"]])
         return self
 
     def predict(self, df: DataFrame, out: str = "p_a") -> DataFrame:
-        scored = self.model.transform(_vector(df, self.features))
-        return scored.withColumn(out, spread(vector_to_array("probability"), self.seen)).select(*df.columns, out)
+        return super().predict(df, out)
 
 
 @dataclass
-class Boosting:
-    """One-against-rest gradient boosting; the class chances are brought to sum 1."""
+class Boosting(_Trees):
+    """Soft-max gradient boosting."""
 
-    features: list[str]
     rounds: int = SETTINGS.boost_rounds
     depth: int = SETTINGS.boost_depth
-    models: dict[int, object] = field(default_factory=dict)
-
-    def fit(self, df: DataFrame, weight: str | None = None) -> Boosting:
-        ready = _vector(df, self.features).persist()
-        for i in sorted(int(r[0]) for r in df.select("class_index").distinct().collect()):  # 15 at most
-            gbt = GBTClassifier(labelCol="y", maxIter=self.rounds, maxDepth=self.depth, stepSize=SETTINGS.boost_step, seed=SETTINGS.seed)
-            self.models[i] = (gbt.setWeightCol(weight) if weight else gbt).fit(ready.withColumn("y", (F.col("class_index") == i).cast("double")))
-        ready.unpersist()
+
+    def fit(self, df: DataFrame, weight: str | None = None, most_rows: int = MOST_ROWS) -> Boosting:
+        """One task fits on the sample."""
+        spark = df.sparkSession
+        x, y, w = self._sample(df, weight, most_rows)
+        shared, k, rounds, depth = spark.sparkContext.broadcast((x, y, w)), len(self.seen), self.rounds, self.depth
+        self.model = _in_a_task(spark, lambda: trees.fit_boosted(*shared.value, k, rounds, depth, SETTINGS.boost_step))
         return self
 
     def predict(self, df: DataFrame, out: str = "p_c") -> DataFrame:
-        scored = _vector(df, self.features)
-        for i, m in self.models.items():
-            scored = m.transform(scored).withColumn(f"__p{i}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-        total = sum((F.col(f"__p{i}") for i in self.models), F.lit(0.0))
-        chance = [F.coalesce(F.try_divide(F.col(f"__p{i}"), total), F.lit(0.0)) if i in self.models else F.lit(0.0) for i in range(len(CLASSES))]
-        return scored.withColumn(out, F.array(*chance)).select(*df.columns, out)
+        return super().predict(df, out)
+
+
+def _in_a_task(spark: SparkSession, make: Callable[[], object]) -> object:
+    """What make() returns, made by an executor."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            yield pd.DataFrame({"made": [pickle.dumps(make())]})
+
+    return pickle.loads(spark.range(1).coalesce(1).mapInPandas(run, "made binary").first()["made"])
 
 
-def token_counts(steps: DataFrame) -> DataFrame:
-    """(session, one column for each token and pair of tokens)."""
-    number = lambda c: lookup({t: i for i, t in enumerate(TOKENS)}, F.col(c)).cast("string")
-    paired = steps.select("session", "token", F.lead("token").over(Window.partitionBy("session").orderBy("us", "seq_no")).alias("after"))
-    long = paired.select("session", F.explode(F.array(F.concat(F.lit("t"), number("token")), F.concat(F.lit("p"), number("token"), F.lit("_"), number("after")))).alias("f")).where("f IS NOT NULL")
-    names = [*[f"t{i}" for i in range(len(TOKENS))], *[f"p{i}_{j}" for i in range(len(TOKENS)) for j in range(len(TOKENS))]]
-    return long.groupBy("session").agg(*[F.count_if(F.col("f") == n).cast("double").alias(n) for n in names])
+def index_sequences(steps: DataFrame, most: int = SETTINGS.sequence_length) -> DataFrame:
+    """(session, ids): the ids of each session's last tokens in order."""
+    return tokens.sequences(tokens.last_steps(steps, most)).select("session", tokens.last_indices(F.transform("seq", lambda x: x["token"]), most).cast("array<int>").alias("ids"))
 
 
 @dataclass
 class TokenModel:
-    """Logistic regression over token counts of sessions."""
+    """A recurrent net over the token ids of sessions."""
 
-    features: list[str] = field(default_factory=lambda: [*[f"t{i}" for i in range(len(TOKENS))], *[f"p{i}_{j}" for i in range(len(TOKENS)) for j in range(len(TOKENS))]])
-    model: object = None
-    seen: list[int] = field(default_factory=list)
+    config: RecurrentConfig = field(default_factory=RecurrentConfig)
+    model: Recurrent | None = None
 
-    def fit(self, df: DataFrame, weight: str | None = None) -> TokenModel:
-        self.seen = sorted(int(r[0]) for r in df.select("class_index").distinct().collect())  # 15 at most
-        dense = df.withColumn("y", F.array_position(F.lit([float(i) for i in self.seen]), F.col("class_index")).cast("double") - 1)
-        lr = LogisticRegression(labelCol="y", family="multinomial", regParam=1e-3, maxIter=60)
-        self.model = (lr.setWeightCol(weight) if weight else lr).fit(_vector(dense, self.features))
+    def fit(self, df: DataFrame, class_weights: list[float] | None = None, most_rows: int = MOST_SEQUENCES) -> TokenModel:
+        """df (ids, class_index); class weights in class order, 1 without. One task fits on the sample."""
+        rows = sample_rows_to_fit(df, ["ids"], most_rows)
+        shared, config = df.sparkSession.sparkContext.broadcast(([list(map(int, s)) for s in rows["ids"]], rows["class_index"].to_numpy())), self.config
+        weight = np.asarray(class_weights or [1.0] * len(CLASSES))
+        self.model = _in_a_task(df.sparkSession, lambda: Recurrent(config).fit(*shared.value, weight, SETTINGS.seed))
         return self
 
-    def predict(self, df: DataFrame, out: str = "p_b") -> DataFrame:
-        scored = self.model.transform(_vector(df, self.features))
-        return scored.withColumn(out, spread(vector_to_array("probability"), self.seen)).select(*df.columns, out)
+    def predict(self, df: DataFrame, out: str = "p_b", ids: str = "ids") -> DataFrame:
+        shared, every = df.sparkSession.sparkContext.broadcast(self.model), list(range(len(CLASSES)))
+        return _scored(df, [ids], out, PROBABILITIES, lambda b: _over_classes(shared.value.predict([s or [] for s in b.column(ids).to_pylist()]), every))
+
+    def explain(self, df: DataFrame, out: str = "token_attributions", ids: str = "ids", class_index: str = "class_index") -> DataFrame:
+        """df with `out`: gradient times input of each step, in order, for the row's class_index."""
+        shared = df.sparkSession.sparkContext.broadcast(self.model)
 
-    def coefficients(self, class_index: int) -> dict[str, float]:
-        """Coefficient of each token for a class, for attributions."""
-        row = self.model.coefficientMatrix.toArray()[self.seen.index(class_index)]
-        return {t: float(row[i]) for i, t in enumerate(TOKENS)}
+        def parts(b: pa.RecordBatch) -> pa.Array:
+            seqs = [s or [] for s in b.column(ids).to_pylist()]
+            found = shared.value.attributions(seqs, [int(c) for c in b.column(class_index).to_pylist()])
+            last = self_longest
+            return pa.array([[{"name": tokens.TOKENS[i], "value": float(v)} for i, v in zip(s[-last:], f, strict=False)] for s, f in zip(seqs, found, strict=True)], pa.list_(pa.struct([("name", pa.string()), ("value", pa.float64())])))
+
+        self_longest = self.config.longest
+        return _scored(df, [ids, class_index], out, TOP, parts)
+
+
+def save_model(spark: SparkSession, model: object, path: str) -> None:
+    """A fitted model as a one-row table at any path Spark can write."""
+    spark.createDataFrame([(type(model).__name__, bytearray(pickle.dumps(model)))], "kind string, model binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> object:
+    """A model saved by save_model; unpickled, so only from folders that are trusted."""
+    return pickle.loads(bytes(spark.read.parquet(path).first()["model"]))
 
 
 def smote_targets(df: DataFrame, label: str = "label", least: int = SETTINGS.smote_min_count, k: int = SETTINGS.smote_k, ratio: float = SETTINGS.smote_ratio) -> DataFrame:
@@ -136,7 +233,9 @@ def _made(features: list[str], k: int, clean_k: int, seed: int):
         if n < 2 or need <= 0:
             return pd.DataFrame(columns=[*features, "label"])
         rng = np.random.default_rng([seed, int(pdf["__block"].iloc[0]), n])
-        near = np.argsort(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), axis=1)[:, 1 : k + 1]
+        apart = _squares(x, x)
+        np.fill_diagonal(apart, -1.0)  # a row comes first among its own neighbours, also where others equal it
+        near = np.argsort(apart, axis=1, kind="stable")[:, 1 : k + 1]
         base = rng.integers(0, n, need)
         other = near[base, rng.integers(0, near.shape[1], need)]
         new = x[base] + rng.random((need, 1)) * (x[other] - x[base])
@@ -162,14 +261,3 @@ def smote(df: DataFrame, features: list[str], seq: str, label: str = "label", k:
     share = own_class_share(fixed, whole.unionByName(fixed.drop("__id")), features, clean_k + 1)
     kept = fixed.join(share.where("share >= 0.5"), "__id").select(*features, "label")
     return whole.unionByName(kept)
-
-
-def arrow_scorer(df: DataFrame, keep: list[str], column: str, score, out: str = "risk") -> DataFrame:
-    """keep and score(values) of a column: the plug for any scorer of NumPy arrays, in Arrow batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[keep].assign(**{out: np.asarray(score(pdf[column].to_numpy()), dtype=float)})
-
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + f", {out} double"
-    return df.select(*dict.fromkeys([*keep, column])).mapInPandas(run, schema)

@@ -64,16 +64,19 @@ def tag_sessions_terminated(df: DataFrame, us: str, duration: str, seq: str, gap
     return parts.join(first, keys).select(F.col("__seq").alias(seq), session_name(F.col("__d"), F.col("__k"), F.col("__first") + F.col("__part")).alias("session_id"))
 
 
-def session_summary(df: DataFrame, session: str, us: str, seq: str) -> DataFrame:
-    """(session_id, day, partition, n_flows, start_us, end_us, label, duration_seconds).
+def session_summary(df: DataFrame, session: str, us: str, seq: str, token: str | None = None) -> DataFrame:
+    """(session_id, day, partition, n_flows, start_us, end_us, label, duration_seconds), with a token column also (items, first_seq).
 
-    The label is the most frequent one, of equally frequent ones the one seen first; null labels don't vote.
+    The label is the most frequent one, of equally frequent ones the one seen first; null labels don't vote. items are the
+    session's different tokens, first_seq its least row number.
     """
     first = F.struct(us, seq)
-    votes = df.groupBy(session, "label").agg(F.count("*").alias("n"), F.min(first).alias("f"), F.min_by(F.struct("day", "partition"), first).alias("p"), F.min(us).alias("a"), F.max(us).alias("b"))
+    more = [F.collect_set(token).alias("items"), F.min(seq).alias("first_seq")] if token else []  # as many as there are tokens
+    votes = df.groupBy(session, "label").agg(F.count("*").alias("n"), F.min(first).alias("f"), F.min_by(F.struct("day", "partition"), first).alias("p"), F.min(us).alias("a"), F.max(us).alias("b"), *more)
     vote = F.when(F.col("label").isNotNull(), F.struct(F.col("n").alias("n"), (-F.col(f"f.{us}")).alias("t"), (-F.col(f"f.{seq}")).alias("s")))
-    out = votes.groupBy(F.col(session).alias("session_id")).agg(F.min_by("p", "f").alias("p"), F.sum("n").alias("n_flows"), F.min("a").alias("start_us"), F.max("b").alias("end_us"), F.max_by("label", vote).alias("label"))
-    return out.select("session_id", "p.day", "p.partition", "n_flows", "start_us", "end_us", "label", ((F.col("end_us") - F.col("start_us")) / 1e6).alias("duration_seconds"))
+    more = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.min("first_seq").alias("first_seq")] if token else []
+    out = votes.groupBy(F.col(session).alias("session_id")).agg(F.min_by("p", "f").alias("p"), F.sum("n").alias("n_flows"), F.min("a").alias("start_us"), F.max("b").alias("end_us"), F.max_by("label", vote).alias("label"), *more)
+    return out.select("session_id", "p.day", "p.partition", "n_flows", "start_us", "end_us", "label", ((F.col("end_us") - F.col("start_us")) / 1e6).alias("duration_seconds"), *(["items", "first_seq"] if token else []))
 
 
 def flow_level(df: DataFrame, seq: str) -> DataFrame:

@@ -9,12 +9,11 @@ from flowloom.config import CLASSES, SETTINGS, TOKENS
 from flowloom.functions.net import session_key
 from flowloom.operators import ablation, clean, explain, features, fusion, graph, metrics, mining, models, sessions, tokens
 from flowloom.plans import pipeline
-from flowloom.runtime import micros
+from flowloom.runtime import micros, stored
 from flowloom.sources.schema import FEATURES
 from flowloom.sources.tables import table
 from flowloom.streaming import replay
 
-SCALED = ("flow_duration", "total_fwd_packets", "flow_bytes_s", "flow_packets_s", "packet_length_mean", "init_win_bytes_backward", "fwd_urg_flags")
 WEIGHTS = fusion.FusionWeights(0.30, 0.35, 0.25, 0.05, 0.05)
 GAP_S = 900.0
 
@@ -50,14 +49,21 @@ def pseudo(seed: Column, m: int) -> Column:
     return F.transform(raw, lambda x: x.cast("double") / total.cast("double"))
 
 
+def evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions with summary and evidence: the steps are read twice, once for transitions and once for sessions."""
+    steps = tagged(spark, folder)
+    pairs = stored(tokens.transitions(steps))
+    base = stored(sessions.session_summary(steps, "session", "us", "seq_no", "token"))
+    own = base.select(F.col("session_id").alias("session"), F.col("start_us").alias("begin"), F.col("n_flows").alias("n"))
+    edges = stored(graph.graph_edges(steps, pairs=pairs, begins=own.drop("n")))
+    scores = graph.session_scores(steps, edges, pairs=pairs, sizes=own.drop("begin")).withColumnRenamed("session", "session_id").drop("n")
+    return mining.item_scores(base).withColumnRenamed("fp_score", "sp_t").withColumnRenamed("first_seq", "seed").join(scores, "session_id")
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions with made-up probabilities and real evidence."""
-    steps = tagged(spark, folder)
-    evidence = graph.session_scores(steps, graph.graph_edges(steps)).select(F.col("session").alias("session_id"), F.col("tc_0").alias("tc_t"), "g_w", "mean_gap_s", "n")
-    fp = mining.fp_match(steps).select(F.col("session").alias("session_id"), F.col("fp_score").alias("sp_t"))
-    seed = tagged(spark, folder).groupBy(F.col("session").alias("session_id")).agg(F.min("seq_no").alias("seed"))
-    rows = summary(spark, folder).join(evidence, "session_id").join(fp, "session_id").join(seed, "session_id")
-    return rows.withColumn("p_a", pseudo(F.col("seed"), 0)).withColumn("p_b", pseudo(F.col("seed"), 1)).withColumn("p_c", pseudo(F.col("seed"), 2))
+    rows = evidence(spark, folder).withColumn("tc_t", F.col("tc_0"))
+    return stored(rows.withColumn("p_a", pseudo(F.col("seed"), 0)).withColumn("p_b", pseudo(F.col("seed"), 1)).withColumn("p_c", pseudo(F.col("seed"), 2)))
 
 
 def fused(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,13 +97,13 @@ def unresolved_label_drop(spark, d):
 
 
 def ts_multi_format(spark, d):
-    raw = table(spark, d, "raw_flow_records").where(F.col("timestamp").rlike(r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}(:\d{2})?$"))
+    raw = table(spark, d, "raw_flow_records")
     return clean.parse_times(raw, "timestamp", "parsed").select("record_id", micros("parsed").alias("us")).where("us IS NOT NULL")
 
 
 def ts_whole_column(spark, d):
     raw = table(spark, d, "raw_flow_records")
-    return clean.parse_times(raw, "timestamp", "parsed", "reference").select("record_id", micros("parsed").alias("us"))
+    return clean.parse_times(raw, "timestamp", "parsed", "reference", "record_id").select("record_id", micros("parsed").alias("us"))
 
 
 def ts_impute_clock(spark, d):
@@ -115,7 +121,7 @@ def clean_inf_nan(spark, d):
 
 
 def split_counts(spark, d):
-    return table(spark, d, "flow_records").groupBy("day", "partition").agg(F.count("*").alias("n"))
+    return clean.tag_day(table(spark, d, "flow_records")).groupBy("day", "day_order", "partition").agg(F.count("*").alias("n"))
 
 
 def label_day_counts(spark, d):
@@ -194,12 +200,7 @@ def session_sequences(spark, d):
 
 
 def seq_last_n_indices(spark, d):
-    return tokens.sequences(tokens.last_steps(tagged(spark, d), 8)).select("session", F.array_join(tokens.last_indices(F.transform("seq", lambda x: x["token"]), 8), ",").alias("ids"))
-
-
-def seq_last_n_indices_full(spark, d):
-    """seq_last_n_indices, whose SQL holds 8 steps, at the length of the settings."""
-    return tokens.sequences(tokens.last_steps(tagged(spark, d))).select("session", F.array_join(tokens.last_indices(F.transform("seq", lambda x: x["token"])), ",").alias("ids"))
+    return models.index_sequences(tagged(spark, d)).select("session", F.array_join("ids", ",").alias("ids"))
 
 
 def transitions(spark, d):
@@ -235,9 +236,9 @@ def graph_full(spark, d):
 
 
 def edge_weight_lookup(spark, d):
-    pairs = tokens.transitions(tagged(spark, d)).select("src", "dst").distinct()
-    few = _edges(spark, d, "train").where("src <> 'DATA_TRANSFER'")
-    return graph.edge_weight(pairs, few).select("src", "dst", r6("weight").alias("weight"))
+    """The weights of all pairs of tokens, and of one no session has."""
+    grid = spark.createDataFrame([(t,) for t in (*TOKENS, "NEVER_SEEN")], "src string").withColumn("dst", F.explode(F.lit(list(TOKENS))))
+    return graph.edge_weight(grid, _edges(spark, d, "train")).select("src", "dst", r6("weight").alias("weight"))
 
 
 def _scores(spark, d):
@@ -261,12 +262,9 @@ def graph_paths(spark, d):
 
 
 def lambda_auc(spark, d):
-    rows = _scores(spark, d).join(summary(spark, d).select(F.col("session_id").alias("session"), "label"), "session").where("label IS NOT NULL")
-    areas = [graph.auc(rows, f"tc_{i}", F.col("label") != "BENIGN").select(F.lit(x).alias("decay"), r6("auc").alias("auc"), "n_pos", "n_neg") for i, x in enumerate(SETTINGS.lambdas)]
-    out = areas[0]
-    for a in areas[1:]:
-        out = out.unionByName(a)
-    return out
+    rows = evidence(spark, d).where("label IS NOT NULL")
+    areas = graph.aucs(rows, {str(x): f"tc_{i}" for i, x in enumerate(SETTINGS.lambdas)}, F.col("label") != "BENIGN")
+    return areas.select(F.col("name").cast("double").alias("decay"), r6("auc").alias("auc"), "n_pos", "n_neg")
 
 
 def mean_gap(spark, d):
@@ -286,7 +284,7 @@ def inv_dt_norm(spark, d):
 
 
 def _params(spark, d):
-    return features.fit_scaler(table(spark, d, "flow_records").where("partition = 'train'"), list(SCALED))
+    return features.fit_scaler(table(spark, d, "flow_records").where("partition = 'train'"), list(FEATURES))
 
 
 def clip_bounds(spark, d):
@@ -302,8 +300,9 @@ def variance_filter(spark, d):
 
 
 def scaled_features(spark, d):
+    """All features, those that are not kept as null."""
     out = features.scale(table(spark, d, "flow_records"), _params(spark, d).collect(), ["record_id"])
-    return out.select("record_id", *[r6(c).alias(c) for c in out.columns if c != "record_id"])
+    return out.select("record_id", *[r6(c).alias(c) if c in out.columns else F.lit(None).cast("double").alias(c) for c in FEATURES])
 
 
 def feature_groups(spark, d):
@@ -313,7 +312,7 @@ def feature_groups(spark, d):
 
 
 def mi_binned(spark, d):
-    out = features.mutual_information(labelled(spark, d), ["flow_duration", "total_fwd_packets", "flow_bytes_s", "syn_flag_count"], "label")
+    out = features.mutual_information(labelled(spark, d), list(FEATURES), "label")
     return out.select("feature", r6("mi").alias("mi"))
 
 
@@ -326,22 +325,12 @@ def fp_singletons(spark, d):
     return s.select("session", "token").distinct().groupBy("token").agg(F.count("*").alias("freq")).join(F.broadcast(n)).select("token", "freq", r6(F.col("freq") / F.col("n")).alias("support"))  # one row
 
 
-def fp_itemsets(spark, d):
-    items = tagged(spark, d).groupBy("session").agg(F.collect_set("token").alias("items"))  # 10 tokens at most
-    return mining.itemsets(items).where(F.size("items") <= 3).select(F.array_join("items", ",").alias("items"), "freq", r6("support").alias("support"))
-
-
 def fp_itemsets_all(spark, d):
     items = tagged(spark, d).groupBy("session").agg(F.collect_set("token").alias("items"))  # 10 tokens at most
     return mining.itemsets(items).select(F.array_join("items", ",").alias("items"), "freq", r6("support").alias("support"))
 
 
 def fp_match_score(spark, d):
-    return mining.fp_match(tagged(spark, d), 0.3).select("session", r6("fp_score").alias("fp_score"))
-
-
-def fp_match_score_full(spark, d):
-    """fp_match_score, whose SQL holds a support of 0.3, at the support of the settings."""
     return mining.fp_match(tagged(spark, d), SETTINGS.itemset_support).select("session", r6("fp_score").alias("fp_score"))
 
 
@@ -435,7 +424,7 @@ def pr_auc(spark, d):
 
 def mcnemar(spark, d):
     s = scored(spark, d).where("label IS NOT NULL").withColumn("a", fusion.first_best(F.col("p_a"))).withColumn("b", fusion.first_best(F.col("p_b")))
-    return metrics.mcnemar(s, "label", "a", "b").select("b", "c", r6("statistic").alias("statistic"))
+    return metrics.mcnemar(s, "label", "a", "b").select("b", "c", r6("statistic").alias("statistic"), r6("p_value").alias("p_value"))
 
 
 def bootstrap_ci(spark, d):
@@ -448,7 +437,7 @@ def bootstrap_ci(spark, d):
 def _replayed(spark, d):
     s = summary(spark, d)
     risk = tagged(spark, d).groupBy(F.col("session").alias("session_id")).agg(F.min("seq_no").alias("seed")).withColumn("risk", F.pmod(F.col("seed") * 37, F.lit(101)) / 100.0)
-    return replay.replay(s, risk, window_s=600, stride_s=900)
+    return replay.replay(s, risk)
 
 
 def stream_assign_windows(spark, d):
@@ -522,26 +511,31 @@ def _proba(df, column, keep):
     return df.select(*keep, *[r6(F.col(column)[i]).alias(f"p_{i}") for i in range(len(CLASSES))])
 
 
-def rf_probs(spark, d):
+def _forest(spark, d, kind):
+    """A model of flows with class weights, fitted on train, and the scaled flows."""
     ready, _, params, kept = _trained(spark, d)
-    names = [c for c in features.model_feature_sets(kept)["forest"]]
-    scaled = features.scale(ready, params, ["seq_no", "label", "partition"])
-    model = models.Forest(names).fit(models.with_index(scaled.where("partition = 'train'")))
-    return _proba(model.predict(scaled), "p_a", ["seq_no"])
+    names = features.model_feature_sets(kept)["forest" if kind is models.Forest else "boosting"]
+    weights = clean.class_weights(ready.where("partition = 'train'")).withColumnRenamed("label", "__l")
+    scaled = stored(features.scale(ready, params, ["seq_no", "label", "partition"]))
+    rows = models.with_index(scaled.where("partition = 'train'")).join(F.broadcast(weights), F.col("label") == F.col("__l"))  # 15 rows
+    return kind(names).fit(rows, "weight"), scaled
+
+
+def rf_probs(spark, d):
+    model, scaled = _forest(spark, d, models.Forest)
+    return _proba(model.predict(scaled.select("seq_no", *model.features), "p_a"), "p_a", ["seq_no"])
 
 
 def gbt_probs(spark, d):
-    ready, _, params, kept = _trained(spark, d)
-    names = [c for c in features.model_feature_sets(kept)["boosting"]]
-    scaled = features.scale(ready, params, ["seq_no", "label", "partition"])
-    model = models.Boosting(names).fit(models.with_index(scaled.where("partition = 'train'")))
-    return _proba(model.predict(scaled), "p_c", ["seq_no"])
+    model, scaled = _forest(spark, d, models.Boosting)
+    return _proba(model.predict(scaled.select("seq_no", *model.features), "p_c"), "p_c", ["seq_no"])
 
 
 def token_model_probs(spark, d):
-    counts = models.token_counts(tagged(spark, d)).join(summary(spark, d).select(F.col("session_id").alias("session"), "label", "partition"), "session")
-    model = models.TokenModel().fit(models.with_index(counts.where("partition = 'train'")))
-    return _proba(model.predict(counts), "p_b", ["session"])
+    rows = models.index_sequences(tagged(spark, d)).join(summary(spark, d).select(F.col("session_id").alias("session"), "label", "partition"), "session")
+    train = rows.where("partition = 'train'")
+    model = models.TokenModel().fit(models.with_index(train), clean.class_weight_array(clean.class_weights(train)))
+    return _proba(model.predict(rows), "p_b", ["session"])
 
 
 def logistic_risk(spark, d):
@@ -550,32 +544,61 @@ def logistic_risk(spark, d):
 
 
 def smote_rows(spark, d):
-    names = ["flow_duration", "total_fwd_packets", "total_backward_packets"]
-    rows = clean.clean_data(labelled(spark, d).where("partition = 'train'"), names)
-    return models.smote(rows, names, "record_id").groupBy("label").agg(F.count("*").alias("n"))
+    rows = clean.clean_data(labelled(spark, d).where("partition = 'train'"), list(FEATURES))
+    return models.smote(rows, list(FEATURES), "record_id").groupBy("label").agg(F.count("*").alias("n"))
 
 
 def tree_explain(spark, d):
-    ready, _, params, kept = _trained(spark, d)
-    names = [c for c in features.model_feature_sets(kept)["forest"]]
-    scaled = features.scale(ready, params, ["seq_no", "label", "partition"])
-    model = models.Forest(names).fit(models.with_index(scaled.where("partition = 'train'")))
-    return explain.tree_attributions(model.model, scaled, names, ["seq_no"]).select("seq_no", explain.listed(F.col("top")).alias("top"))
+    model, scaled = _forest(spark, d, models.Forest)
+    return model.explain(scaled.select("seq_no", *model.features)).select("seq_no", explain.listed(F.col("top")).alias("top"))
+
+
+def _run(spark, d):
+    artifacts = pipeline.run(flows(spark, d).drop("us"))
+    parts = [t.withColumn("partition", F.lit(p)) for p, t in artifacts.tables.items()]
+    return artifacts, parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def pipeline_run(spark, d):
     """The whole run with the settings' models and supports over all three partitions."""
-    tables = pipeline.run(flows(spark, d).drop("us")).tables
-    parts = [t.select("session_id", F.lit(p).alias("partition"), "predicted_class", r6("risk").alias("risk"), "tier") for p, t in tables.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _run(spark, d)[1].select("session_id", "partition", "predicted_class", r6("risk").alias("risk"), "tier")
+
+
+def pipeline_checks(spark, d):
+    """One row of what must hold for the whole run: sessions once each, probabilities and fusion add up, tiers follow risk, the risk model's gradient is zero."""
+    a, rows = _run(spark, d)
+    w = a.weights
+    one = lambda c: F.abs(F.aggregate(c, F.lit(0.0), lambda s, x: s + x) - 1) < 1e-6
+    again = fusion.fuse(F.col("p_a"), F.col("p_b"), F.col("p_c"), F.col("sp_t"), F.col("tc_t"), w)
+    same = F.forall(F.zip_with(again, F.col("r"), lambda x, y: F.abs(x - y) < 1e-9), lambda x: x)
+    val = rows.where("partition = 'val'")
+    off = val.select(*[((F.col("risk") - F.col("is_attack")) * m).alias(f"g{i}") for i, m in enumerate([F.lit(1.0), F.col("r_max"), F.col("sp_t"), F.col("tc_t"), F.col("g_w"), F.col("inv_dt_norm")])])
+    slope = off.agg(*[F.sum(c).alias(c) for c in off.columns]).first()
+    coef = [0.0, *a.risk_model.coefficients.toArray().tolist()]
+    flat = all(abs(slope[f"g{i}"] + coef[i]) < 1e-3 * max(1, val.count()) for i in range(6))
+    return rows.agg(
+        (F.count("*") == F.countDistinct("session_id")).alias("sessions_once"), F.bool_and(one("p_a") & one("p_b") & one("p_c")).alias("probabilities_add_up"), F.bool_and(same).alias("fusion_adds_up"),
+        F.bool_and(F.col("r_max") == F.array_max("r")).alias("greatest_chosen"), F.bool_and(F.col("tier") == fusion.tier(F.col("risk"))).alias("tiers_follow"), F.bool_and(F.col("risk").between(0, 1) & F.col("sp_t").between(0, 1)).alias("within_bounds"), F.lit(flat).alias("risk_fitted"),
+    )
+
+
+def pipeline_sessions(spark, d):
+    """Sessions, flows and attacks of each partition in the run's tables."""
+    return _run(spark, d)[1].groupBy("partition").agg(F.count("*").alias("n_sessions"), F.sum("n_flows").cast("bigint").alias("n_flows"), F.sum("is_attack").cast("bigint").alias("n_attacks"))
+
+
+def pipeline_reports(spark, d):
+    """Reports of the run's sessions of the upper two tiers, from the fitted models."""
+    artifacts, _ = _run(spark, d)
+    return pipeline.reports(artifacts, "test")
 
 
 NAMES = (
     "flow_end_time session_key_symmetric normalize_labels unresolved_label_drop ts_multi_format ts_whole_column ts_impute_clock synthetic_clock clean_inf_nan split_counts label_day_counts zero_shot_classes "
     "limit_per_file stratified_split_counts seeded_rows class_weights sessions_with_cap sessions_gap_only sessions_fin_rst session_size_hist sessions_flow_level session_summary tokens_encode token_counts "
-    "token_rule_table session_sequences seq_last_n_indices seq_last_n_indices_full transitions transition_counts graph_edges_ema graph_edges_incremental graph_full edge_weight_lookup tc_t tc_t_lambda_sweep g_w graph_paths lambda_auc mean_gap pooled_gap "
-    "inv_dt_norm clip_bounds scaler_params variance_filter scaled_features feature_groups mi_binned fp_singletons fp_itemsets fp_itemsets_all fp_match_score fp_match_score_full seq_pairs_support gap_match prefixspan_full sp_t "
+    "token_rule_table session_sequences seq_last_n_indices transitions transition_counts graph_edges_ema graph_edges_incremental graph_full edge_weight_lookup tc_t tc_t_lambda_sweep g_w graph_paths lambda_auc mean_gap pooled_gap "
+    "inv_dt_norm clip_bounds scaler_params variance_filter scaled_features feature_groups mi_binned fp_singletons fp_itemsets_all fp_match_score seq_pairs_support gap_match prefixspan_full sp_t "
     "prob_mean_by_session fuse_scores fused_prediction fusion_grid risk_meta_features risk_tiers smote_targets confusion per_class_report macro_f1 macro_f1_present fpr pr_auc mcnemar bootstrap_ci "
-    "stream_assign_windows stream_window_counts stream_n_windows early_detection missed_sessions alert_report_text attack_alerts sample_rows top_attributions ablation_compare rf_probs gbt_probs token_model_probs logistic_risk smote_rows tree_explain pipeline_run"
+    "stream_assign_windows stream_window_counts stream_n_windows early_detection missed_sessions alert_report_text attack_alerts sample_rows top_attributions ablation_compare rf_probs gbt_probs token_model_probs logistic_risk smote_rows tree_explain pipeline_run pipeline_checks pipeline_sessions pipeline_reports"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -7,7 +7,6 @@ from flowloom.operators.features import GROUPS
 from flowloom.operators.tokens import RULES
 from flowloom.sources.schema import FEATURES
 
-QUERY_SCALED = ("flow_duration", "total_fwd_packets", "flow_bytes_s", "flow_packets_s", "packet_length_mean", "init_win_bytes_backward", "fwd_urg_flags")
 
 
 def text(s: str) -> str:
@@ -122,16 +121,15 @@ _per_feature = " UNION ALL ".join(
     f"""SELECT {text(c)} AS feature, lo, hi, median(x) AS median, var_pop(f) AS variance, min(f) AS low, max(f) AS high FROM (
   SELECT x, coalesce(x, median(x) OVER ()) AS f, lo, hi FROM (SELECT CASE WHEN {_fin(c)} IS NOT NULL THEN least(greatest({_fin(c)}, lo), hi) END AS x, lo, hi FROM train,
     (SELECT quantile_cont({_fin(c)}, 0.01) AS lo, quantile_cont({_fin(c)}, 0.99) AS hi FROM train))) GROUP BY lo, hi"""
-    for c in QUERY_SCALED
+    for c in FEATURES
 )
 PARAMS = f"""train AS (SELECT * FROM flow_records WHERE "partition" = 'train'), params AS ({_per_feature})"""
 _scaled = ", ".join(
-    f"""round((coalesce(CASE WHEN {_fin("r." + c)} IS NOT NULL THEN least(greatest({_fin("r." + c)}, p{i}.lo), p{i}.hi) END, p{i}.median) - p{i}.low) / (CASE WHEN p{i}.high = p{i}.low THEN 1 ELSE p{i}.high - p{i}.low END), 6) + 0.0::DOUBLE AS {c}"""
-    for i, c in enumerate(QUERY_SCALED) if c != "fwd_urg_flags"
+    f"""CASE WHEN ps[{text(c)}].variance > 1e-4 THEN round((coalesce(CASE WHEN {_fin("r." + c)} IS NOT NULL THEN least(greatest({_fin("r." + c)}, ps[{text(c)}].lo), ps[{text(c)}].hi) END, ps[{text(c)}].median) - ps[{text(c)}].low) / (CASE WHEN ps[{text(c)}].high = ps[{text(c)}].low THEN 1 ELSE ps[{text(c)}].high - ps[{text(c)}].low END), 6) + 0.0::DOUBLE END AS {c}"""
+    for c in FEATURES
 )
-_param_joins = " ".join(f"JOIN params p{i} ON p{i}.feature = {text(c)}" for i, c in enumerate(QUERY_SCALED) if c != "fwd_urg_flags")
 _group = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(f, {text(p)})' for p in parts)} THEN {text(g)}" for g, parts in GROUPS.items()) + " ELSE 'A' END"
-_mi = ["flow_duration", "total_fwd_packets", "flow_bytes_s", "syn_flag_count"]
+_mi = list(FEATURES)
 _bins = " UNION ALL ".join(f"SELECT {text(c)} AS feature, label AS y, CASE WHEN isfinite({c}::DOUBLE) THEN CAST(least(16, floor(log2(abs({c}::DOUBLE) + 1) / 2)) * sign({c}::DOUBLE) AS INTEGER) END AS b FROM labelled" for c in _mi)
 _want = ["SESSION_ESTABLISHED", "DATA_TRANSFER", "CONNECTION_TERMINATION"]
 _next = f"({'[' + ', '.join(map(text, _want)) + ']'})[w.p + 1]"
@@ -154,7 +152,7 @@ FROM raw_flow_records WHERE regexp_matches("timestamp", '^\\d{1,2}/\\d{1,2}/\\d{
     "ts_impute_clock": "SELECT record_id, coalesce(epoch_us(\"timestamp\"), coalesce(day_order, 0) * 86400000000 + record_id * 1000) AS us FROM flow_records",
     "synthetic_clock": "SELECT record_id, day_order * 86400000000 + (row_number() OVER (PARTITION BY day_order ORDER BY record_id) - 1) * 1000000 AS us FROM flow_records",
     "clean_inf_nan": f"SELECT day, count(*) AS n, CAST(sum(record_id) AS BIGINT) AS ids FROM flow_records WHERE {' AND '.join(f'isfinite({c}::DOUBLE)' for c in FEATURES)} GROUP BY day",
-    "split_counts": "SELECT day, \"partition\", count(*) AS n FROM flow_records GROUP BY ALL",
+    "split_counts": "SELECT day, day_order, \"partition\", count(*) AS n FROM flow_records GROUP BY ALL",
     "label_day_counts": f"WITH {LABELLED} SELECT label, day, count(*) AS n FROM labelled GROUP BY label, day",
     "zero_shot_classes": f"WITH {LABELLED}, classes(class_index, label) AS (VALUES {CLASS_ROWS}) SELECT class_index, label FROM classes WHERE label NOT IN (SELECT label FROM labelled WHERE \"partition\" = 'train')",
     "limit_per_file": "SELECT source_file, record_id FROM flow_records QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY record_id) <= 100",
@@ -173,16 +171,13 @@ SELECT label, CASE WHEN record_id IN (SELECT record_id FROM lacking) THEN 'train
     "token_counts": f"SELECT {_TOKEN} AS token, count(*) AS n FROM flow_records GROUP BY 1",
     "token_rule_table": "SELECT * FROM (VALUES " + ", ".join(f"({i + 1}, {text(t)}, {text(m)})" for i, (t, m) in enumerate(RULES)) + ") AS v(rule, token, meaning)",
     "session_sequences": f"WITH {STEPS} SELECT session, string_agg(token, '>' ORDER BY us, seq_no) AS tokens FROM steps GROUP BY session",
-    "seq_last_n_indices": f"WITH {STEPS}, last AS (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY session ORDER BY us DESC, seq_no DESC) <= 8) SELECT session, string_agg(({_TOKEN_ID})::VARCHAR, ',' ORDER BY us, seq_no) AS ids FROM last GROUP BY session",
+    "seq_last_n_indices": f"WITH {STEPS}, last AS (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY session ORDER BY us DESC, seq_no DESC) <= 128) SELECT session, string_agg(({_TOKEN_ID})::VARCHAR, ',' ORDER BY us, seq_no) AS ids FROM last GROUP BY session",
     "transitions": f"WITH {STEPS}, {TRANS} SELECT session, pos, src, dst, round(dt_s, 6) AS dt_s FROM trans",
     "transition_counts": f"WITH {STEPS}, {TRANS} SELECT src, dst, count(*) AS n FROM trans GROUP BY src, dst",
     "graph_edges_ema": f"WITH {STEPS.replace('token IS NOT NULL)', 'token IS NOT NULL AND \"partition\" = ' + text('train') + ')')}, {TRANS}, {edges()} SELECT src, dst, round(weight, 6) AS weight FROM edges",
     "graph_full": f"WITH {STEPS.replace('token IS NOT NULL)', 'token IS NOT NULL AND \"partition\" = ' + text('train') + ')')}, {TRANS}, {edges()}, tokens(t) AS (VALUES {', '.join(f'({text(t)})' for t in TOKENS)}) SELECT s.src, t AS dst, round(coalesce(e.weight, 0), 6) AS weight FROM (SELECT DISTINCT src FROM edges) s CROSS JOIN tokens LEFT JOIN edges e ON e.src = s.src AND e.dst = t",
-    "edge_weight_lookup": f"""WITH {STEPS}, {TRANS}, pairs AS (SELECT DISTINCT src, dst FROM trans),
-tsteps AS (SELECT *, row_number() OVER w - 1 AS pos, lead(token) OVER w AS dst FROM steps WHERE "partition" = 'train' WINDOW w AS (PARTITION BY session ORDER BY us, seq_no)),
-tbegins AS (SELECT session, min(us) AS begin FROM steps WHERE "partition" = 'train' GROUP BY session),
-tedges AS (SELECT src, dst, sum((1 - 0.9::DOUBLE) * pow(0.9::DOUBLE, r - 1)) AS weight FROM (SELECT token AS src, dst, row_number() OVER (PARTITION BY token ORDER BY begin DESC, session DESC, pos DESC) AS r FROM tsteps JOIN tbegins USING (session) WHERE dst IS NOT NULL) WHERE src <> 'DATA_TRANSFER' GROUP BY src, dst)
-SELECT p.src, p.dst, round(CASE WHEN p.src NOT IN (SELECT src FROM tedges) THEN 0.05 ELSE coalesce(e.weight, 0) END, 6) AS weight FROM pairs p LEFT JOIN tedges e ON e.src = p.src AND e.dst = p.dst""",
+    "edge_weight_lookup": f"""WITH {STEPS.replace('token IS NOT NULL)', 'token IS NOT NULL AND "partition" = ' + text('train') + ')')}, {TRANS}, {edges()}, tokens(t) AS (VALUES {', '.join(f'({text(t)})' for t in TOKENS)})
+SELECT a.t AS src, b.t AS dst, round(CASE WHEN a.t NOT IN (SELECT src FROM edges) THEN 0.05 ELSE coalesce(e.weight, 0) END, 6) AS weight FROM (SELECT t FROM tokens UNION ALL SELECT 'NEVER_SEEN') a CROSS JOIN tokens b LEFT JOIN edges e ON e.src = a.t AND e.dst = b.t""",
     "tc_t": f"WITH {GRAPH} SELECT session, round(tc_2, 6) AS tc_t FROM scores",
     "tc_t_lambda_sweep": f"WITH {GRAPH} SELECT session, {', '.join(f'round(tc_{i}, 6) AS tc_{i}' for i in range(5))} FROM scores",
     "g_w": f"WITH {GRAPH} SELECT session, round(g_w, 6) AS g_w FROM scores",
@@ -195,15 +190,11 @@ SELECT p.src, p.dst, round(CASE WHEN p.src NOT IN (SELECT src FROM tedges) THEN
     "clip_bounds": f"WITH {PARAMS} SELECT feature, round(lo, 6) AS lo, round(hi, 6) AS hi FROM params",
     "scaler_params": f"WITH {PARAMS} SELECT feature, round(median, 6) AS median, round(low, 6) AS low, round(high, 6) AS high FROM params",
     "variance_filter": f"WITH {PARAMS} SELECT feature, variance > 1e-4 AS kept FROM params",
-    "scaled_features": f"WITH {PARAMS} SELECT record_id, {_scaled} FROM flow_records r {_param_joins}",
+    "scaled_features": f"WITH {PARAMS}, ps_ AS (SELECT map_from_entries(list((feature, {{'lo': lo, 'hi': hi, 'median': median, 'variance': variance, 'low': low, 'high': high}}))) AS ps FROM params) SELECT record_id, {_scaled} FROM flow_records r, ps_",
     "feature_groups": f"WITH fs(f) AS (VALUES {', '.join(f'({text(c)})' for c in FEATURES)}) SELECT f AS feature, {_group} AS grp, {_group} IN ('A', 'B') AS forest, {_group} IN ('B', 'D') AS boosting FROM fs",
     "mi_binned": f"WITH {LABELLED}, bins AS ({_bins}), cells AS (SELECT feature, b, y, count(*)::DOUBLE AS n FROM bins GROUP BY ALL), w AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, b) AS nb, sum(n) OVER (PARTITION BY feature, y) AS ny FROM cells) SELECT feature, round(greatest(sum(n / t * ln(n * t / (nb * ny))), 0), 6) AS mi FROM w GROUP BY feature",
     "fp_singletons": f"WITH {STEPS}, {SUPPORT} SELECT token, freq, round(support, 6) AS support FROM support",
-    "fp_itemsets": f"""WITH {STEPS}, once AS (SELECT DISTINCT session, token FROM steps), n AS (SELECT count(DISTINCT session)::DOUBLE AS n FROM once),
-sets AS (SELECT token AS items FROM once UNION ALL SELECT a.token || ',' || b.token FROM once a JOIN once b ON a.session = b.session AND a.token < b.token
-  UNION ALL SELECT a.token || ',' || b.token || ',' || c.token FROM once a JOIN once b ON a.session = b.session AND a.token < b.token JOIN once c ON c.session = a.session AND b.token < c.token)
-SELECT items, count(*) AS freq, round(count(*) / any_value(n), 6) AS support FROM sets, n GROUP BY items HAVING count(*) >= ceil(any_value(n) * 0.02)""",
-    "fp_match_score": f"WITH {STEPS}, {SUPPORT} SELECT session, round(max(CASE WHEN support >= 0.3 THEN support ELSE 0 END), 6) AS fp_score FROM (SELECT DISTINCT session, token FROM steps) JOIN support USING (token) GROUP BY session",
+    "fp_match_score": f"WITH {STEPS}, {SUPPORT} SELECT session, round(max(CASE WHEN support >= 0.02 THEN support ELSE 0 END), 6) AS fp_score FROM (SELECT DISTINCT session, token FROM steps) JOIN support USING (token) GROUP BY session",
     "seq_pairs_support": f"WITH {STEPS} SELECT x.token AS a, y.token AS b, count(DISTINCT x.session) AS freq FROM steps x JOIN steps y ON x.session = y.session AND (x.us, x.seq_no) < (y.us, y.seq_no) GROUP BY 1, 2",
     "gap_match": f"""WITH RECURSIVE {STEPS}, o AS (SELECT session, token, us, row_number() OVER (PARTITION BY session ORDER BY us, seq_no) AS i FROM steps),
 walk AS (SELECT session, 0::BIGINT AS i, 0 AS p, 0::BIGINT AS t FROM (SELECT DISTINCT session FROM o)
@@ -228,13 +219,16 @@ by_ AS (SELECT class, s, count_if(label = class) AS p, count(*) AS n FROM long G
 run AS (SELECT class, p, sum(p) OVER w AS cp, sum(n) OVER w AS cn, sum(p) OVER (PARTITION BY class) AS all_p FROM by_ WINDOW w AS (PARTITION BY class ORDER BY s DESC))
 SELECT class, round(sum(CASE WHEN all_p > 0 THEN p / all_p::DOUBLE * cp / cn END), 6) AS ap FROM run GROUP BY class""",
     "mcnemar": f"""WITH {SCORED}, x AS (SELECT label, ({CLASS_LIST})[list_position(p_a, list_max(p_a))] AS a, ({CLASS_LIST})[list_position(p_b, list_max(p_b))] AS b FROM scored WHERE label IS NOT NULL),
-n AS (SELECT count_if(a = label AND b <> label)::BIGINT AS b, count_if(a <> label AND b = label)::BIGINT AS c FROM x)
-SELECT b, c, round(CASE WHEN b + c = 0 THEN 0 WHEN b + c < 25 THEN least(b, c) ELSE pow(abs(b - c) - 1, 2) / (b + c) END::DOUBLE, 6) AS statistic FROM n""",
+n AS (SELECT count_if(a = label AND b <> label)::BIGINT AS b, count_if(a <> label AND b = label)::BIGINT AS c FROM x),
+s AS (SELECT b, c, CASE WHEN b + c = 0 THEN 0 WHEN b + c < 25 THEN least(b, c) ELSE pow(abs(b - c) - 1, 2) / (b + c) END::DOUBLE AS statistic FROM n),
+-- the chi-square tail from Simpson's rule over the normal density
+area AS (SELECT sqrt(statistic) / 2000 * list_sum(list_transform(range(2001), lambda i: exp(-pow(sqrt(statistic) * i / 2000, 2) / 2) * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)) / 3 * sqrt(2 / pi()) AS inside FROM s)
+SELECT b, c, round(statistic, 6) AS statistic, round(1 - inside, 6) AS p_value FROM s, area""",
     "stream_assign_windows": f"WITH {STEPS}, {SUMMARY}, {PLACED.format(w=60, s=10)} SELECT session_id, window_start_us FROM windows",
     "stream_window_counts": f"WITH {STEPS}, {SUMMARY}, {PLACED.format(w=60, s=10)} SELECT window_start_us, count(*) AS n_sessions FROM windows GROUP BY 1",
     "stream_n_windows": f"WITH {STEPS}, {SUMMARY} SELECT CAST(floor((max(end_us) - min(start_us)) / 10000000.0::DOUBLE) AS BIGINT) + 1 AS n_windows FROM summary",
     "early_detection": f"WITH {STEPS}, {SUMMARY}, seeds AS (SELECT session, min(seq_no) AS seed FROM steps GROUP BY session) SELECT round(avg(duration_seconds), 3) AS mean_latency, round(median(duration_seconds), 3) AS median_latency, count(*) AS n_detected FROM summary JOIN seeds ON session = session_id WHERE {_risk} >= 0.75 AND label <> 'BENIGN'",
-    "missed_sessions": f"WITH {STEPS}, {SUMMARY}, {PLACED.format(w=600, s=900)} SELECT session_id FROM windows WHERE window_start_us IS NULL",
+    "missed_sessions": f"WITH {STEPS}, {SUMMARY}, {PLACED.format(w=60, s=10)} SELECT session_id FROM windows WHERE window_start_us IS NULL",
     "alert_report_text": f"""WITH {FUSED}, path AS (SELECT session, first(src ORDER BY pos) || ' -> ' || string_agg(dst || '(w=' || printf('%.2f', weight) || ')', ' -> ' ORDER BY pos) AS path FROM weighted GROUP BY session)
 SELECT session_id, 'Alert for Session ' || session_id || ' (' || predicted_class || ')' || chr(10) || printf('  Risk_t: %.3f [%s]', {_risk}, {_tier}) || chr(10)
   || printf('  RF top features:   flow_duration(%+.3f)', {_risk} - 0.5) || chr(10) || printf('  XGBoost top features: syn_flag_count(%+.3f)', 0.25 - {_risk}) || chr(10) || printf('  LSTM token attributions: CONNECTION_ATTEMPT(%+.3f)', {_risk}) || chr(10)
@@ -254,4 +248,16 @@ SELECT items, count(*) AS freq, round(count(*) / any_value(n), 6) AS support FRO
     "fusion_grid": f"""WITH {SCORED}, v AS (SELECT label, {", ".join(f"({CLASS_LIST})[list_position({m}, list_max({m}))] AS {m}" for m in ("p_a", "p_b", "p_c"))} FROM scored WHERE "partition" = 'val' AND label IS NOT NULL),
 {", ".join(f"f_{m} AS (SELECT avg(2.0::DOUBLE * tp / (a + b)) AS f FROM (SELECT c, (SELECT count(*) FROM v WHERE label = c AND {m} = c) AS tp, (SELECT count(*) FROM v WHERE label = c) AS a, (SELECT count(*) FROM v WHERE {m} = c) AS b FROM (SELECT label AS c FROM v UNION SELECT {m} FROM v)))" for m in ("p_a", "p_b", "p_c"))}
 SELECT round(f_p_a.f / (f_p_a.f + f_p_b.f + f_p_c.f), 6) AS a, round(f_p_b.f / (f_p_a.f + f_p_b.f + f_p_c.f), 6) AS b, round(f_p_c.f / (f_p_a.f + f_p_b.f + f_p_c.f), 6) AS c, 0.0::DOUBLE AS s, 0.0::DOUBLE AS t FROM f_p_a, f_p_b, f_p_c""",
+    "pipeline_checks": "SELECT " + ", ".join(f"true AS {c}" for c in "sessions_once probabilities_add_up fusion_adds_up greatest_chosen tiers_follow within_bounds risk_fitted".split()),
+    "pipeline_sessions": f"""WITH RECURSIVE {LABELLED}, clean AS (SELECT * FROM labelled WHERE {' AND '.join(f'isfinite({c}::DOUBLE)' for c in FEATURES)}), base AS (
+  SELECT day, "partition", session_key, label, us, us + greatest(flow_duration, 0) AS e, row_number() OVER (PARTITION BY day, session_key ORDER BY us, record_id) AS i FROM clean WHERE day IS NOT NULL AND session_key IS NOT NULL AND us IS NOT NULL
+), walk AS (
+  SELECT *, us AS first_us, 0 AS n FROM base WHERE i = 1
+  UNION ALL
+  SELECT b.*, CASE WHEN b.us - w.e > 60000000 OR b.us - w.first_us > 3600000000 THEN b.us ELSE w.first_us END, CASE WHEN b.us - w.e > 60000000 OR b.us - w.first_us > 3600000000 THEN w.n + 1 ELSE w.n END
+  FROM walk w JOIN base b ON b.day = w.day AND b.session_key = w.session_key AND b.i = w.i + 1
+), counted AS (SELECT "partition", day, session_key, n, label, count(*) AS c, min(i) AS f FROM walk GROUP BY ALL),
+won AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY day, session_key, n ORDER BY c DESC, f) = 1),
+flows AS (SELECT day, session_key, n, count(*) AS n_flows FROM walk GROUP BY ALL)
+SELECT "partition", count(*) AS n_sessions, CAST(sum(n_flows) AS BIGINT) AS n_flows, CAST(count_if(label <> 'BENIGN') AS BIGINT) AS n_attacks FROM won JOIN flows USING (day, session_key, n) GROUP BY "partition" """,
 }

@@ -287,7 +287,7 @@ def test_queries_mine_at_the_support_of_the_settings(spark, tmp_path):
     q = flow_queries.QUERIES
     assert {r["pattern"]: r["support"] for r in q["prefixspan_full"](spark, d).collect()} == {"SCAN_ACTIVITY>DOS_INDICATOR": pytest.approx(2 / 60, abs=1e-6)}
     want = {"s0": 2 / 60, "s2": 0.0, "s3": 57 / 60}
-    got = {r["session"]: r["fp_score"] for r in q["fp_match_score_full"](spark, d).collect()}
+    got = {r["session"]: r["fp_score"] for r in q["fp_match_score"](spark, d).collect()}
     assert {s: got[s] for s in want} == pytest.approx(want, abs=1e-6)
     got = {r["session"]: r["sp_t"] for r in q["sp_t"](spark, d).collect()}
     assert {s: got[s] for s in want} == pytest.approx(want | {"s3": 57 / 120}, abs=1e-6)
@@ -295,26 +295,57 @@ def test_queries_mine_at_the_support_of_the_settings(spark, tmp_path):
 
 def test_index_sequences_have_the_length_of_the_settings(spark, tmp_path):
     d = tagged_table(spark, tmp_path, [["AUTH_FAIL"] * 5 + ["SCAN_ACTIVITY"] * 127 + ["DATA_TRANSFER"], ["AUTH_FAIL"] + ["DATA_TRANSFER"] * 19])
-    got = {r["session"]: r["ids"].split(",") for r in flow_queries.QUERIES["seq_last_n_indices_full"](spark, d).collect()}
+    got = {r["session"]: r["ids"].split(",") for r in flow_queries.QUERIES["seq_last_n_indices"](spark, d).collect()}
     assert got == {"s0": ["4"] * 127 + ["5"], "s1": ["2"] + ["5"] * 19}
 
 
-@pytest.mark.parametrize("query, size", [("rf_probs", (200, 12)), ("tree_explain", (200, 12)), ("gbt_probs", (300, 8))])
-def test_queries_fit_models_of_full_size(spark, monkeypatch, query, size):
-    class Fitted(Exception):
-        pass
+def test_models_have_full_size_and_know_their_classes(spark):
+    import numpy as np
 
-    def fit(self, *_):
-        raise Fitted(self.trees if isinstance(self, models.Forest) else self.rounds, self.depth)
+    assert (models.Forest([]).trees, models.Forest([]).depth, models.Boosting([]).rounds, models.Boosting([]).depth) == (200, models.UNLIMITED, 300, 8)
+    rng = np.random.default_rng(3)
+    data = [(float(x), float(y), float(z), 0.0 if x < 0.5 else 4.0 if y < 0.5 else 8.0, 1.0) for x, y, z in rng.random((900, 3))]
+    df = spark.createDataFrame(data, "x double, y double, z double, class_index double, weight double")
+    for kind, more in ((models.Forest, {"trees": 20}), (models.Boosting, {"rounds": 30})):
+        m = kind(["x", "y", "z"], **more).fit(df.where("z < 0.7"), "weight")
+        out = m.predict(df.where("z >= 0.7"), "p").collect()
+        right = np.mean([int(np.argmax(r["p"])) == r["class_index"] for r in out])
+        assert right > 0.97 and all(abs(sum(r["p"]) - 1) < 1e-9 and len(r["p"]) == len(CLASSES) for r in out)
+        top = m.explain(df.limit(50), k=3).collect()
+        assert all({e["name"] for e in r["top"]} == {"x", "y", "z"} and abs(r["top"][0]["value"]) >= abs(r["top"][2]["value"]) for r in top)
+        x = np.array([r[:3] for r in data[:20]])
+        base = np.mean([t.value[0] for t in m.model.trees], axis=0) if kind is models.Forest else m.model.step * np.array([[t.value[0, 0] for t in r] for r in m.model.rounds]).sum(axis=0)
+        whole = m.model.predict(x) if kind is models.Forest else m.model.margins(x)
+        assert np.allclose(m.model.attributions(x).sum(axis=1) + base, whole, atol=1e-3)
+    few = models.sample_rows_to_fit(df, ["x"], 100)
+    assert 60 < len(few) < 170 and abs(few["weight"].sum() - 900) < 200
+
+
+def test_recurrent_net(spark):
+    import numpy as np
 
-    monkeypatch.setattr(models.Forest, "fit", fit)
-    monkeypatch.setattr(models.Boosting, "fit", fit)
-    few = spark.createDataFrame([("BENIGN", "train")], "label string, partition string")
-    monkeypatch.setattr(flow_queries, "_trained", lambda *_: (few, [], [], []))
-    monkeypatch.setattr(features, "scale", lambda df, *_: df)
-    with pytest.raises(Fitted) as e:
-        flow_queries.QUERIES[query](spark, DATA)
-    assert e.value.args == size
+    from flowloom.operators.recurrent import Recurrent, RecurrentConfig
+
+    small = RecurrentConfig(embedding=4, hidden=5, classes=3, epochs=1, longest=6)
+    net = Recurrent(small).start(0)
+    net.weights = {k: v.astype(float) for k, v in net.weights.items()}
+    seqs = [[1, 2, 3], [4, 5, 6, 7, 8], [2]]
+    parts = net.attributions(seqs, [0, 1, 2])
+    assert [len(p) for p in parts] == [3, 5, 1]
+    row, k = net.weights["E"][5].copy(), 1  # gradient times input is the slope along the input itself
+    net.weights["E"][5] = row * 1.0001
+    up = net._logits([seqs[1]])[0][0, k]
+    net.weights["E"][5] = row * 0.9999
+    down = net._logits([seqs[1]])[0][0, k]
+    assert parts[1][1] == pytest.approx((up - down) / 0.0002, rel=1e-4)
+    rnd = random.Random(1)
+    data = [([rnd.randint(0, 9) for _ in range(rnd.randint(1, 12))],) for _ in range(500)]
+    data = [(s, 1.0 if 3 in s else 0.0) for (s,) in data] + [([], 0.0)]
+    df = spark.createDataFrame(data, "ids array<int>, class_index double")
+    model = models.TokenModel(RecurrentConfig(hidden=32, epochs=12)).fit(df)
+    out = model.predict(df).collect()
+    assert np.mean([np.argmax(r["p_b"]) == r["class_index"] for r in out]) > 0.9
+    assert len(model.explain(df.limit(3)).first()["token_attributions"]) == len(data[0][0])
 
 
 def test_a_query_runs_the_pipeline_as_set(spark, monkeypatch):
@@ -325,6 +356,27 @@ def test_a_query_runs_the_pipeline_as_set(spark, monkeypatch):
     assert flow_queries.QUERIES["pipeline_run"](spark, DATA).count() == 3 and asked == [((), {})]
 
 
+def test_sparse_windows_miss_sessions(spark):
+    s = spark.createDataFrame([("a", 0, 0), ("b", 700 * US, 700 * US), ("c", 950 * US, 950 * US)], "session_id string, start_us long, end_us long").withColumn("label", F.lit("Bot"))
+    out = replay.replay(s, s.select("session_id", F.lit(0.9).alias("risk")), window_s=600, stride_s=900)
+    assert rows(replay.missed(s, out).select("session_id")) == [("b",)]
+    got = replay.early_detection(out).first()
+    assert (got["mean_latency"], got["median_latency"], got["n_detected"]) == (0.0, 0.0, 3)
+    assert replay.early_detection(out.where("false")).first()["median_latency"] is None
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from flowloom.runtime import shared_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    fake = type("Session", (), {"conf": Conf(), "sparkContext": type("Context", (), {"master": "yarn"})})
+    with pytest.raises(RuntimeError):
+        shared_dir(fake)
+
+
 def test_order_statistics(spark):
     import numpy as np
 

@@ -33,8 +33,9 @@ def test_day_files(spark, folder):
     assert ("Tuesday", "Web Attack - XSS", "train", "tuesday.CSV", None) in got and ("Monday", "DoS Hulk", "train", "Monday-x.csv", 10.0) in got
     assert df.where("flow_bytes_s = double('Infinity')").count() == 0  # the only one has an unknown label
     assert csv.load_flows(spark, str(folder), rows_per_file=1).count() == 2
+    assert sorted(r[0] for r in df.select("row_seq").collect()) == [0, 1, 3, 4]  # numbered before the unknown label went
     with pytest.raises(FileNotFoundError):
-        csv.discover_day_files(str(folder / "none"))
+        csv.discover_day_files(spark, str(folder / "none"))
 
 
 def test_no_label_column(spark, tmp_path):
@@ -65,14 +66,22 @@ def test_stream_equals_batch(spark, tmp_path):
         q = live.live_sessions(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
         q.awaitTermination()
     got = rows(spark.read.parquet(out).where("session_key <> 'end'").select("day", "session_key", "start_us", "end_us", "n_flows"))
-    tagged = sessions.tag_sessions(ordered, "us", "flow_duration", "record_id")
+    once = ordered.groupBy(*[c for c in ordered.columns if c not in ("record_id", "loaded_at")]).agg(F.min("record_id").alias("record_id"))
+    tagged = sessions.tag_sessions(once, "us", "flow_duration", "record_id")
     want = rows(tagged.groupBy("session_id").agg(F.first("day").alias("day"), F.first("session_key").alias("k"), F.min("us").alias("a"), F.max("us").alias("b"), F.count("*").alias("n")).drop("session_id"))
     assert len(got) > 100 and got == want
 
 
-def test_whole_run(spark):
+def test_whole_run(spark, tmp_path):
     flows = spark.read.parquet(f"{DATA}/flow_records.parquet")
     a = pipeline.run(flows, Settings(itemset_support=0.2, sequence_support=0.3), trees=5, rounds=2)
+    text = pipeline.reports(a, "test", ("ATTACK", "SUSPICIOUS", "BENIGN")).orderBy("session_id").first()["report"]
+    assert text.startswith("Alert for Session ") and "RF top features:" in text and "Graph path:" in text
+    a.save(spark, f"file://{tmp_path}/run")
+    b = pipeline.Artifacts.load(spark, f"file://{tmp_path}/run")
+    again = pipeline.score(pipeline.session_table(a.flows["test"], b), b)
+    key = lambda t: rows(t.select("session_id", "predicted_class", F.round("risk", 9)))
+    assert key(again) == key(a.tables["test"])
     test = a.tables["test"]
     got = test.select("risk", "tier", "predicted_class", F.aggregate("r", F.lit(0.0), lambda s, x: s + x).alias("sum")).collect()
     assert got and all(0 <= r["risk"] <= 1 and r["predicted_class"] in CLASSES and abs(r["sum"] - 1) < 1e-6 for r in got)
