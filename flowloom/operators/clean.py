@@ -52,11 +52,6 @@ def known_labels(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn(label, normalize_label(F.col(label))).where(F.col(label).isin(*CLASSES))
 
 
-def day_of_file(file: Column) -> Column:
-    """The first weekday a file's name contains, or null."""
-    return reduce(lambda w, d: w.when(F.contains(F.lower(file), F.lit(d.lower())), d), DAY_ORDER, F.when(F.lit(False), ""))
-
-
 def tag_day(df: DataFrame, day: str = "day") -> DataFrame:
     return df.withColumn("day_order", lookup(DAY_ORDER, F.col(day))).withColumn("partition", lookup(DAY_PARTITION, F.col(day)))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +27,6 @@ class FusionWeights:
 EQUAL = FusionWeights()
 
 
-def align(proba: Column, classes: list[str]) -> Column:
-    """A model's probabilities in the order of all classes, 0 for those it has not seen."""
-    return F.array(*[F.get(proba, F.lit(classes.index(c))) if c in classes else F.lit(0.0) for c in CLASSES])
-
-
 def fuse(pa: Column, pb: Column, pc: Column, sp: Column, tc: Column, w: FusionWeights) -> Column:
     """Weighted sum per class; the scores add the same to every class."""
     both = F.zip_with(pa, pb, lambda x, y: w.a * x + w.b * y)
@@ -112,7 +106,3 @@ def predict_risk(model, df: DataFrame) -> DataFrame:
 def mean_probabilities(df: DataFrame, session: str, column: str) -> Column:
     """Aggregate: mean of each of the 15 probabilities."""
     return F.array(*[F.avg(F.col(column)[i]) for i in range(len(CLASSES))])
-
-
-def all_equal(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, [columns[0] == c for c in columns[1:]], F.lit(True))

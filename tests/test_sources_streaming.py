@@ -74,12 +74,13 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_whole_run(spark, tmp_path):
     flows = spark.read.parquet(f"{DATA}/flow_records.parquet")
-    a = pipeline.run(flows, Settings(itemset_support=0.2, sequence_support=0.3), trees=5, rounds=2)
+    settings = Settings(itemset_support=0.2, sequence_support=0.3)
+    a = pipeline.run(flows, settings, trees=5, rounds=2)
     text = pipeline.reports(a, "test", ("ATTACK", "SUSPICIOUS", "BENIGN")).orderBy("session_id").first()["report"]
     assert text.startswith("Alert for Session ") and "RF top features:" in text and "Graph path:" in text
     a.save(spark, f"file://{tmp_path}/run")
     b = pipeline.Artifacts.load(spark, f"file://{tmp_path}/run")
-    again = pipeline.score(pipeline.session_table(a.flows["test"], b), b)
+    again = pipeline.score(pipeline.session_table(a.flows["test"], b, settings), b)
     key = lambda t: rows(t.select("session_id", "predicted_class", F.round("risk", 9)))
     assert key(again) == key(a.tables["test"])
     test = a.tables["test"]
