@@ -62,8 +62,8 @@ def clear_stored(spark: SparkSession) -> None:
 
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast only if it is proven to have at most so many rows; beyond that Spark's shuffle joins do it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Marks df for broadcast only if it is proven to have at most so many rows; beyond that it is joined by shuffle, whatever its size is estimated at."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
 def micros(ts: str | Column) -> Column:
