@@ -342,7 +342,7 @@ def test_recurrent_net(spark):
     data = [([rnd.randint(0, 9) for _ in range(rnd.randint(1, 12))],) for _ in range(500)]
     data = [(s, 1.0 if 3 in s else 0.0) for (s,) in data] + [([], 0.0)]
     df = spark.createDataFrame(data, "ids array<int>, class_index double")
-    model = models.TokenModel(RecurrentConfig(hidden=32, epochs=12)).fit(df)
+    model = models.TokenModel(RecurrentConfig(hidden=32, epochs=12, rate=1e-2)).fit(df)
     out = model.predict(df).collect()
     assert np.mean([np.argmax(r["p_b"]) == r["class_index"] for r in out]) > 0.9
     assert len(model.explain(df.limit(3)).first()["token_attributions"]) == len(data[0][0])
@@ -363,6 +363,8 @@ def test_sparse_windows_miss_sessions(spark):
     got = replay.early_detection(out).first()
     assert (got["mean_latency"], got["median_latency"], got["n_detected"]) == (0.0, 0.0, 3)
     assert replay.early_detection(out.where("false")).first()["median_latency"] is None
+    timed = replay.timed_replay(s.withColumn("n_flows", F.lit(2)), s.select("session_id", F.lit(0.9).alias("risk")))
+    assert timed.per_session.count() == 3 and timed.n_windows == 96 and timed.throughput_flows_per_s > 0 and timed.latency_ms_per_flow > 0
 
 
 def test_shared_folder_is_asked_for_on_a_cluster():
