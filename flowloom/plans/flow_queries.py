@@ -9,7 +9,7 @@ from flowloom.config import CLASSES, SETTINGS, TOKENS
 from flowloom.functions.net import session_key
 from flowloom.operators import ablation, clean, explain, features, fusion, graph, metrics, mining, models, sessions, tokens
 from flowloom.plans import pipeline
-from flowloom.runtime import micros, stored
+from flowloom.runtime import generation, micros, stored
 from flowloom.sources.schema import FEATURES
 from flowloom.sources.tables import table
 from flowloom.streaming import replay
@@ -553,8 +553,17 @@ def tree_explain(spark, d):
     return model.explain(scaled.select("seq_no", *model.features)).select("seq_no", explain.listed(F.col("top")).alias("top"))
 
 
+_last_run: dict = {}
+
+
 def _run(spark, d):
-    artifacts = pipeline.run(flows(spark, d).drop("us"))
+    """The run over a folder's flows; the queries below are views of one run, so the last one is kept while its tables are."""
+    key = (*generation(spark), d)
+    if key not in _last_run:
+        made = pipeline.run(flows(spark, d).drop("us"))
+        _last_run.clear()
+        _last_run[key] = made
+    artifacts = _last_run[key]
     parts = [t.withColumn("partition", F.lit(p)) for p, t in artifacts.tables.items()]
     return artifacts, parts[0].unionByName(parts[1]).unionByName(parts[2])
 

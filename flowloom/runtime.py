@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 20_000
+_cleared: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +60,12 @@ def clear_stored(spark: SparkSession) -> None:
     """Removes what stored() wrote for this application, once nothing reads it any more."""
     folder, files = _own_folder(spark)
     files.delete(folder, True)
+    _cleared.append(spark.sparkContext.applicationId)
+
+
+def generation(spark: SparkSession) -> tuple[str, int]:
+    """Changes whenever stored tables have gone: what was made of them before must be made again."""
+    return spark.sparkContext.applicationId, len(_cleared)
 
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
